@@ -1,13 +1,14 @@
-"""Getting this package to the executors."""
+"""The session's shared folder, tables written once, and getting this package to the workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +28,26 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in local tests, a temporary folder is made and kept for the session.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("notegraph.sharedDir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="notegraph-shared-")
+        spark.conf.set("notegraph.sharedDir", folder)
+    return folder.rstrip("/")
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    This cuts the lineage at a table that outlives any executor, computes the plan once
+    (``checkpoint()`` computes it twice) and gives the optimiser real sizes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/notegraph/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
