@@ -54,14 +54,16 @@ def float_text(x: float) -> str:
 
 
 def float_text_column(x: Column) -> Column:
-    """``float_text`` of a double column, for up to 38 digits."""
-    text = x.cast("string")
-    long = F.regexp_replace(x.try_cast("decimal(38,17)").cast("string"), r"(\.\d*?)0+$", "$1")
+    """``float_text`` of a double column, for values below 1e38."""
+    text, size = x.cast("string"), F.abs(x)
+    digits = lambda kind: x.try_cast(kind).cast("string")
+    # Only text with an exponent takes this way; the scale leaves room for all its digits.
+    long = F.when(size >= 1e20, digits("decimal(38,0)")).when(size >= 1, F.regexp_replace(digits("decimal(38,9)"), r"\.?0+$", "")).otherwise(F.regexp_replace(digits("decimal(38,37)"), "0+$", ""))
     return (
         F.when(F.isnan(x), "NaN")
         .when(text == "Infinity", "inf")
         .when(text == "-Infinity", "-inf")
-        .when(text.contains("E"), F.regexp_replace(long, r"\.$", ""))
+        .when(text.contains("E"), long)
         .otherwise(F.regexp_replace(text, r"\.0$", ""))
     )
 

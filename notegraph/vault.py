@@ -135,7 +135,7 @@ class Vault:
     def schema_validate(self, folder: str, recursive: bool = False) -> DataFrame:
         """collection, file, field, message for every collection of the folder."""
         found, checked = schema.for_folder(self.collections(), folder), None
-        records = self.notes(folder, recursive)
+        records = self.notes(folder, recursive) if found else None
         for name, collection in found.items():
             part = records.validate(collection).select(F.lit(name).alias("collection"), "file", "field", "message")
             checked = part if checked is None else checked.unionByName(part)
