@@ -19,6 +19,7 @@ first; an empty table gives no blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,9 @@ from .common import shared_folder
 MAGIC, VERSION, HEADER, SAMPLE = b"EFTK", 1, struct.Struct("<4sHHQQ"), 64
 #: Ids after which a block is closed (a document is never split).
 BLOCK_IDS = 1 << 20
-#: Words whose ids an encoder remembers.
-MEMO_WORDS = 400_000
+#: Bytes of text whose distinct words are encoded together, and words joined for one call.
+SLICE_BYTES = 12 << 20
+WORDS_AT_ONCE = 512
 
 
 class EliasFano:
@@ -90,11 +93,10 @@ class EliasFano:
         return (ones - np.arange(self.n)) << self.low_bits | np.packbits(low).view(">u8").astype(np.int64)
 
 
-def pack_block(ids: list[bytes], id_bytes: int) -> bytes:
-    """The binary of documents whose ids (with the end id) are given as packed bytes."""
-    ends = np.cumsum(np.array([len(x) // id_bytes for x in ids], np.int64))
-    total = int(ends[-1]) if len(ends) else 0
-    return HEADER.pack(MAGIC, VERSION, id_bytes, len(ids), total) + EliasFano.encode(ends, total) + b"".join(ids)
+def pack_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The binary of documents whose ids follow one another."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return HEADER.pack(MAGIC, VERSION, ids.dtype.itemsize, len(ends), len(ids)) + EliasFano.encode(ends, len(ids)) + ids.tobytes()
 
 
 class Block:
@@ -112,16 +114,17 @@ class Block:
 
 
 class Encoder:
-    """The tokenizers library with a bounded memory of words.
+    """The tokenizers library over batches of texts, each distinct word of a batch once.
 
     The vocabulary's pre-tokenizer always cuts between a non-space character and a
     space, so the ids of a text are those of its pieces " word", one after the other.
-    Pieces seen before are looked up; new ones are encoded together and told apart by
-    the space that starts each.  Texts in which a space follows white space go to the
-    library whole.
+    The distinct pieces of a batch are encoded together, told apart by the space that
+    starts each, and laid out for all texts by array operations.  First words, and
+    texts in which a space follows white space, go to the library as they are.
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,48 +135,72 @@ class Encoder:
         self.id_bytes = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.id_bytes}")
         self.spaced = np.zeros(size, bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
-        self.memo: dict[str, bytes] = {}
-        self.memo_words = memo_words
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of " word" for each of ``words``."""
-        if len(self.memo) + len(words) > self.memo_words:
-            self.memo.clear()
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        starts = np.flatnonzero(self.spaced[ids]).tolist()
-        if len(starts) == len(words):
-            raw, width = ids.tobytes(), self.id_bytes
-            for word, start, end in zip(words, starts, [*starts[1:], len(ids)]):
-                self.memo[word] = raw[start * width : end * width]
-        else:
-            self.memo.update(zip(words, self.whole([" " + w for w in words])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        split = [t.split(" ") for t in texts]
-        new = list({w for s in split for w in s[1:]}.difference(self.memo))
-        odd = {w for w in new if not w or w[-1].isspace()}
-        for at in range(0, len(new), 4096):
-            self.learn([w for w in new[at : at + 4096] if w not in odd])
-        out: list[bytes | None] = [None] * len(texts)
-        plain = []
-        for i, s in enumerate(split):
-            if s[0] and not s[0][-1].isspace() and len(s) > 1 and (not odd or odd.isdisjoint(s)):
-                plain.append(i)
-        for i, head in zip(plain, self.whole([split[i][0] for i in plain])):
-            try:
-                out[i] = head + b"".join(map(self.memo.__getitem__, split[i][1:]))
-            except KeyError:  # forgotten when the memory was cleared
-                pass
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.whole([texts[i] for i in rest])):
-            out[i] = x
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # a space, as the byte-level alphabet writes it
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Arrays of ids whose parts that begin with a space are those of " word", in order."""
+        out = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            ids = self.whole([" " + " ".join(part)])[0]
+            if np.count_nonzero(self.spaced[ids]) != len(part):
+                raise ValueError("the vocabulary does not cut words at spaces")
+            out.append(ids)
         return out
 
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by the end id; number of ids of each text)."""
+        n = len(texts)
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        heads = index[starts[:-1]]
+        odd = np.array([not w or w[-1].isspace() for w in words], bool)
+        text_of = np.repeat(np.arange(n), np.diff(starts))
+        odd_text = np.zeros(n, bool)
+        odd_text[text_of[odd[index]]] = True
+
+        used = np.zeros(len(words), bool)
+        used[np.delete(index, starts[:-1])] = True
+        plain = np.flatnonzero(used & ~odd)
+        pieces = self.words([words[i] for i in plain.tolist()])
+        # Entries: the plain words, then first words, then odd texts, then the end id.
+        firsts = np.unique(heads[~odd_text])
+        odd_rows = np.flatnonzero(odd_text)
+        others = [*self.whole([words[i] for i in firsts.tolist()]), *self.whole(texts.take(pa.array(odd_rows)).to_pylist()), np.array([end_id], self.kind)]
+        flat = np.concatenate([*pieces, *others])
+        n_plain = sum(map(len, pieces))
+        begins = np.concatenate((np.flatnonzero(self.spaced[flat[:n_plain]]), n_plain + np.cumsum([0, *map(len, others)])))
+        entry = np.zeros(len(words), np.int64)
+        entry[plain] = np.arange(len(plain))
+        order = entry[index]
+        order[starts[:-1]] = len(plain) + np.searchsorted(firsts, heads).clip(max=max(len(firsts) - 1, 0))
+        order[starts[odd_rows]] = len(plain) + len(firsts) + np.arange(len(odd_rows))
+        keep = ~odd_text[text_of]
+        keep[starts[odd_rows]] = True
+        counts = np.bincount(text_of[keep], minlength=n)
+        order = np.insert(order[keep], np.cumsum(counts), len(begins) - 2)
+        # Copy each entry's ids to its place.
+        sizes = np.diff(begins)[order]
+        stops = np.cumsum(sizes)
+        ids = flat[np.repeat(begins[order] - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        lengths = np.add.reduceat(sizes, np.cumsum(counts + 1) - counts - 1) if n else sizes
+        return ids, lengths
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of up to ``SLICE_BYTES`` together, or of one text."""
+    ends = np.cumsum(np.concatenate(([0], pc.binary_length(texts).to_numpy()))).astype(np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+        yield at, stop - at
+        at = stop
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -189,28 +216,38 @@ _BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.
 _BLOCKS_DDL = "shard int, block int, start long, n_ids long, doc_ids array<long>, data binary"
 
 
+def _block_row(shard: int, block: int, start: int, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    row = {"shard": shard, "block": block, "start": start, "n_ids": len(ids), "doc_ids": doc_ids.to_pylist(), "data": pack_block(ids, lengths)}
+    return pa.RecordBatch.from_pylist([row], _BLOCKS)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text) into the data set at ``path``, a folder that all executors share."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], coder.kind).tobytes()
-        block, start, size, doc_ids, ids = 0, 0, 0, [], []
+        block, start, held = 0, 0, []
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "start": start, "n_ids": size, "doc_ids": doc_ids, "data": pack_block(ids, coder.id_bytes)}], _BLOCKS)
+            doc_ids, ids, lengths = zip(*held)
+            return _block_row(shard, block, start, pa.concat_arrays(doc_ids), np.concatenate(ids), np.concatenate(lengths))
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                for doc_id, raw in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-                    doc_ids.append(doc_id)
-                    ids.append(raw + end)
-                    size += len(ids[-1]) // coder.id_bytes
-                    if size >= BLOCK_IDS:
+            doc_ids, texts = batch.column(0), batch.column(1)
+            for at, n in slices(texts):
+                ids, lengths = coder.encode(texts.slice(at, n), end_id)
+                stops = np.cumsum(lengths)
+                first = 0
+                while first < n:  # close a block wherever it is full
+                    room = BLOCK_IDS - sum(len(x[1]) for x in held)
+                    before = int(stops[first - 1]) if first else 0
+                    last = min(n, int(np.searchsorted(stops, before + room)) + 1)
+                    held.append((doc_ids.slice(at + first, last - first), ids[before : int(stops[last - 1])], lengths[first:last]))
+                    if sum(len(x[1]) for x in held) >= BLOCK_IDS:
                         yield close()
-                        block, start, size, doc_ids, ids = block + 1, start + size, 0, [], []
-        if doc_ids:
+                        start, block, held = start + sum(len(x[1]) for x in held), block + 1, []
+                    first = last
+        if held:
             yield close()
 
     text = F.coalesce(F.col("text"), F.lit(""))
