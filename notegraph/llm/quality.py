@@ -90,11 +90,12 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityModel:
     """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0 or 1) mark.
 
-    The sample is drawn from the labels, before any text is read; its texts go to the driver.
+    The sample is drawn from the labels, before any text is read; its rows (about twice
+    ``per_label``, whatever the size of the tables) are broadcast, and their texts go to the driver.
     """
     chosen = bounded_sample(labels.filter(F.col("label").isin(0, 1)), "label", per_label).select(F.col("doc_id").alias("chosen_id"), F.col("label").cast("int").alias("label"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")
-    sample = docs.join(chosen, F.col("doc_id") == F.col("chosen_id")).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label", part)
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label", part)
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["text"]), r["label"]))
     model = QualityModel(*[[bytes(r["text"]) for r in rows if r["part"] < TRAIN_PARTS and r["label"] == k] for k in (1, 0)])
     if model.usable:
