@@ -161,16 +161,19 @@ def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi").select(F.translate("text", SPACE.decode(), "").alias("bytes"))
     by_bytes = texts.groupBy("bytes").agg(F.count("*").alias("group_size")).select(F.unhex(F.sha2("bytes", 256)).alias("group_sha"), "group_size")
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("block")).alias("neg_block"), (-F.col("place")).alias("neg_place")))
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("block").alias("not_block"), F.bitwise_not("place").alias("not_place")))
     keepers = suspects.groupBy("sha").agg(best.alias("best"), F.count("*").alias("members"))
     groups = keepers.join(by_bytes, keepers["sha"] == by_bytes["group_sha"], "left").select(
         F.col("sha").alias("group_sha"),
         F.when(F.col("members") == F.col("group_size"), F.col("group_size")).otherwise(F.raise_error(F.lit("texts with one hash differ in their bytes"))).alias("group_size"),
-        (-F.col("best.neg_id")).alias("keep_id"),
-        (-F.col("best.neg_block")).alias("keep_block"),
-        (-F.col("best.neg_place")).alias("keep_place"),
+        F.bitwise_not(F.col("best.not_id")).alias("keep_id"),
+        F.bitwise_not(F.col("best.not_block")).alias("keep_block"),
+        F.bitwise_not(F.col("best.not_place")).alias("keep_place"),
     )
-    grouped = prints.join(groups, prints["sha"] == groups["group_sha"], "left")
+    # A hot group's answer goes to each block once, then to the block's rows: no key of
+    # either join has more rows than there are blocks, or than a block has.
+    answers = suspects.select("block", "sha").distinct().join(groups, F.col("sha") == F.col("group_sha")).drop("sha").withColumnRenamed("block", "own_block")
+    grouped = prints.join(answers, (F.col("block") == F.col("own_block")) & (F.col("sha") == F.col("group_sha")), "left")
     alone = F.col("group_sha").isNull()
     return grouped.select(
         "doc_id",
