@@ -26,13 +26,17 @@ from .common import bounded_sample
 
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Bytes of a window.  Texts are compressed window by window: in a long stretch a text's own repeats outweigh the dictionaries.
+WINDOW = 1 << 10
 #: Rows of the bounded sample that train dictionaries; the others calibrate.
 TRAIN_PARTS, PARTS = 3, 5
 MIN_SAMPLES = 8
 
 
 def compressed_sizes(text: bytes, tools: list[zstandard.ZstdCompressor]) -> list[int]:
-    return [len(c.compress(text)) for c in tools]
+    """Summed over all windows of a text, so that a long one is judged like its parts."""
+    windows = [text[i : i + WINDOW] for i in range(0, len(text), WINDOW)]
+    return [sum(len(c.compress(w)) for w in windows) for c in tools]
 
 
 class QualityModel:
@@ -40,7 +44,7 @@ class QualityModel:
 
     def __init__(self, good: list[bytes], bad: list[bytes]):
         self.dictionaries = [self.train(x) for x in (good, bad)]
-        self.mean, self.scale, self.beta, self.base = np.zeros(3), np.ones(3), np.zeros(4), 0.5
+        self.mean, self.scale, self.beta, self.base = np.zeros(2), np.ones(2), np.zeros(3), 0.5
 
     @staticmethod
     def train(samples: list[bytes]) -> bytes | None:
@@ -54,20 +58,27 @@ class QualityModel:
             return b" ".join(samples)[-DICTIONARY_BYTES:]
 
     def tools(self) -> list[zstandard.ZstdCompressor]:
-        return [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)] + [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False) for d in self.dictionaries]
+        dictionaries = [zstandard.ZstdCompressionDict(d) for d in self.dictionaries]
+        for d in dictionaries:
+            d.precompute_compress(level=LEVEL)
+        return [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)] + [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False) for d in dictionaries]
 
     @property
     def usable(self) -> bool:
         return all(self.dictionaries)
 
     def features(self, texts: list[bytes | None], tools: list[zstandard.ZstdCompressor]) -> np.ndarray:
-        rows = np.zeros((len(texts), 3))
+        rows = np.zeros((len(texts), 2))
         for i, text in enumerate(texts):
             if text:
                 plain, good, bad = compressed_sizes(text, tools)
-                rows[i] = (bad - good) / plain, plain / len(text), np.log(len(text))
+                rows[i] = (bad - good) / plain, plain / len(text)
         return rows
 
+    def design(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features, no further out than the sample's, with a constant."""
+        return np.c_[np.ones(len(x)), np.clip((x - self.mean) / self.scale, -4, 4)]
+
     def calibrate(self, texts: list[bytes | None], labels: list[int]) -> None:
         """Logistic regression by Newton steps with a small ridge."""
         x, y = self.features(texts, self.tools()), np.array(labels, float)
@@ -75,15 +86,14 @@ class QualityModel:
             return
         self.base = float((y.sum() + 1) / (len(y) + 2))
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-        x, beta = np.c_[np.ones(len(x)), (x - self.mean) / self.scale], np.zeros(4)
+        x, beta = self.design(x), np.zeros(3)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            beta += np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + 1e-2 * np.eye(4), x.T @ (y - p) - 1e-2 * beta)
+            beta += np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + 1e-2 * np.eye(3), x.T @ (y - p) - 1e-2 * beta)
         self.beta = beta
 
     def score(self, texts: list[bytes | None], tools: list[zstandard.ZstdCompressor]) -> np.ndarray:
-        x = (self.features(texts, tools) - self.mean) / self.scale
-        p = 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ self.beta, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(self.design(self.features(texts, tools)) @ self.beta, -30, 30)))
         return np.where([bool(t) for t in texts], p, self.base)
 
 
