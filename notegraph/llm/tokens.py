@@ -38,7 +38,7 @@ MAGIC, VERSION, HEADER, SAMPLE = b"EFTK", 1, struct.Struct("<4sHHQQ"), 64
 #: Ids after which a block is closed (a document is never split).
 BLOCK_IDS = 1 << 20
 #: Bytes of text whose distinct words are encoded together, and words joined for one call.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 10 << 20
 WORDS_AT_ONCE = 512
 
 
@@ -155,12 +155,13 @@ class Encoder:
         """(ids of all texts, each closed by the end id; number of ids of each text)."""
         n = len(texts)
         split = pc.split_pattern(texts, " ")
-        starts = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        del split
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         heads = index[starts[:-1]]
         odd = np.array([not w or w[-1].isspace() for w in words], bool)
-        text_of = np.repeat(np.arange(n), np.diff(starts))
+        text_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
         odd_text = np.zeros(n, bool)
         odd_text[text_of[odd[index]]] = True
 
@@ -174,9 +175,10 @@ class Encoder:
         others = [*self.whole([words[i] for i in firsts.tolist()]), *self.whole(texts.take(pa.array(odd_rows)).to_pylist()), np.array([end_id], self.kind)]
         flat = np.concatenate([*pieces, *others])
         n_plain = sum(map(len, pieces))
-        begins = np.concatenate((np.flatnonzero(self.spaced[flat[:n_plain]]), n_plain + np.cumsum([0, *map(len, others)])))
-        entry = np.zeros(len(words), np.int64)
+        begins = np.concatenate((np.flatnonzero(self.spaced[flat[:n_plain]]), n_plain + np.cumsum([0, *map(len, others)]))).astype(np.int32)
+        entry = np.zeros(len(words), np.int32)
         entry[plain] = np.arange(len(plain))
+        del words, pieces, others
         order = entry[index]
         order[starts[:-1]] = len(plain) + np.searchsorted(firsts, heads).clip(max=max(len(firsts) - 1, 0))
         order[starts[odd_rows]] = len(plain) + len(firsts) + np.arange(len(odd_rows))
@@ -184,12 +186,14 @@ class Encoder:
         keep[starts[odd_rows]] = True
         counts = np.bincount(text_of[keep], minlength=n)
         order = np.insert(order[keep], np.cumsum(counts), len(begins) - 2)
-        # Copy each entry's ids to its place.
+        del index, text_of, keep, coded
+        # Copy each entry's ids to its place; positions fit in 32 bits, as the texts' bytes do.
         sizes = np.diff(begins)[order]
-        stops = np.cumsum(sizes)
-        ids = flat[np.repeat(begins[order] - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
-        lengths = np.add.reduceat(sizes, np.cumsum(counts + 1) - counts - 1) if n else sizes
-        return ids, lengths
+        stops = np.cumsum(sizes, dtype=np.int32)
+        lengths = np.add.reduceat(sizes, np.cumsum(counts + 1) - counts - 1).astype(np.int64) if n else sizes.astype(np.int64)
+        place = np.repeat(begins[order] - stops + sizes, sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat[place], lengths
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -216,39 +220,42 @@ _BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.
 _BLOCKS_DDL = "shard int, block int, start long, n_ids long, doc_ids array<long>, data binary"
 
 
-def _block_row(shard: int, block: int, start: int, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    row = {"shard": shard, "block": block, "start": start, "n_ids": len(ids), "doc_ids": doc_ids.to_pylist(), "data": pack_block(ids, lengths)}
-    return pa.RecordBatch.from_pylist([row], _BLOCKS)
+class BlockWriter:
+    """Cuts the encoded documents of one shard into blocks, at document ends."""
+
+    def __init__(self, shard: int):
+        self.shard, self.block, self.start, self.size = shard, 0, 0, 0
+        self.held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        stops, first = np.cumsum(lengths), 0
+        while first < len(lengths):
+            before = int(stops[first - 1]) if first else 0
+            last = min(len(lengths), int(np.searchsorted(stops, before + BLOCK_IDS - self.size)) + 1)
+            self.held.append((doc_ids.slice(first, last - first), ids[before : int(stops[last - 1])], lengths[first:last]))
+            self.size += int(stops[last - 1]) - before
+            if self.size >= BLOCK_IDS:
+                yield from self.rest()
+            first = last
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            doc_ids, ids, lengths = zip(*self.held)
+            row = {"shard": self.shard, "block": self.block, "start": self.start, "n_ids": self.size, "doc_ids": pa.concat_arrays(doc_ids).to_pylist(), "data": pack_block(np.concatenate(ids), np.concatenate(lengths))}
+            yield pa.RecordBatch.from_pylist([row], _BLOCKS)
+            self.block, self.start, self.size, self.held = self.block + 1, self.start + self.size, 0, []
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text) into the data set at ``path``, a folder that all executors share."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        block, start, held = 0, 0, []
-
-        def close() -> pa.RecordBatch:
-            doc_ids, ids, lengths = zip(*held)
-            return _block_row(shard, block, start, pa.concat_arrays(doc_ids), np.concatenate(ids), np.concatenate(lengths))
-
+        coder, writer = encoder(tokenizer), BlockWriter(TaskContext.get().partitionId())
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             for at, n in slices(texts):
-                ids, lengths = coder.encode(texts.slice(at, n), end_id)
-                stops = np.cumsum(lengths)
-                first = 0
-                while first < n:  # close a block wherever it is full
-                    room = BLOCK_IDS - sum(len(x[1]) for x in held)
-                    before = int(stops[first - 1]) if first else 0
-                    last = min(n, int(np.searchsorted(stops, before + room)) + 1)
-                    held.append((doc_ids.slice(at + first, last - first), ids[before : int(stops[last - 1])], lengths[first:last]))
-                    if sum(len(x[1]) for x in held) >= BLOCK_IDS:
-                        yield close()
-                        start, block, held = start + sum(len(x[1]) for x in held), block + 1, []
-                    first = last
-        if held:
-            yield close()
+                yield from writer.add(doc_ids.slice(at, n), *coder.encode(texts.slice(at, n), end_id))
+        yield from writer.rest()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
