@@ -21,8 +21,11 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     model = langid.fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    judged = docs.withColumn("_language", langid.predict(model, docs))
-    return judged.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_SCORE)).select(docs.columns)
+    name = "_language"
+    while name in docs.columns:
+        name += "_"
+    judged = docs.withColumn(name, langid.predict(model, docs))
+    return judged.filter((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset, as
-    in local tests, a temporary folder is made and used for the session.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("notegraph.sharedDir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="notegraph-shared-")
-        spark.conf.set("notegraph.sharedDir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage at a table that outlives any executor, computes the
-    plan once (``checkpoint()`` computes it twice) and gives the optimiser real sizes.
-    """
-    path = f"{shared_folder(df.sparkSession)}/notegraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_sample", "held_out", "materialise", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

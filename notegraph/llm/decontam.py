@@ -77,4 +77,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found."""
     found = materialise(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("found_id")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")

@@ -82,7 +82,7 @@ class LanguageModel:
         ones, zeros = self.code > 0, self.code <= 0
         mean = lambda pick: np.stack([profile[pick[:, b]].mean(0) if pick[:, b].any() else np.full(counts.shape[1], 1 / counts.shape[1]) for b in range(self.code.shape[1])])
         self.weights = (np.log(mean(ones)) - np.log(mean(zeros))).T.astype(np.float32)
-        right = (np.sign(profile @ self.weights) == self.code).mean(0)
+        right = (np.sign(profile @ self.weights) == self.code).mean(0) if languages else np.ones(1)
         self.bit_weights = np.maximum(right, 1e-3) / np.maximum(right, 1e-3).sum()
 
     def margins(self, texts: pa.Array) -> np.ndarray:

@@ -119,4 +119,5 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mixture takes them; texts aren't shuffled."""
     planned = plan(materialise(sizes_of(docs), "mix-sizes"), mix)
-    return realise(docs, planned, mix).select(docs.columns)
+    packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return realise(packed, planned, mix).select("row.*")

@@ -205,13 +205,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's least; of rows with one id, one stays."""
+    """The rows of ``docs`` whose doc_id is their component's least.
+
+    Of rows that share a doc_id one stays: the one whose text has the least XXH64, then
+    the least in all columns.
+    """
     found = materialise(near_duplicates(docs), "simhash-classes")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("kept_id"), "rows")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    single = rows.filter("rows = 1").select(docs.columns)
-    repeated = kept.filter("rows > 1")
+    by_id = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("least"))
+    kept = materialise(by_id.filter("least").select("kept_id", "rows"), "simhash-kept")
+    chosen = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    single, repeated = chosen(kept.filter("rows = 1")), kept.filter("rows > 1")
     if repeated.isEmpty():
         return single
-    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = chosen(repeated).select("doc_id", F.struct(F.xxhash64("text").alias("hash"), row.alias("row")).alias("r")).groupBy("doc_id").agg(F.min("r").alias("r"))
+    return single.unionByName(again.select("r.row.*"))

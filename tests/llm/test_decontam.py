@@ -1,0 +1,96 @@
+import random
+import re
+
+from notegraph.llm import decontam, queries
+
+
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def brute(docs, items):
+    """Every diagonal of every pair that has a window with a mask's words in common."""
+    out = {}
+    masks = [[i for i, x in enumerate(m) if x == "1"] for m in decontam.MASKS]
+    for doc, text in docs:
+        d = words(text)
+        for item, item_text in items:
+            b = words(item_text)
+            diagonals = set()
+            for m in masks:
+                at = {}
+                for i in range(len(b) - decontam.SPAN + 1):
+                    at.setdefault(tuple(b[i + p] for p in m), []).append(i)
+                for j in range(len(d) - decontam.SPAN + 1):
+                    diagonals |= {j - i for i in at.get(tuple(d[j + p] for p in m), [])}
+            best = (0, 0)
+            for g in diagonals:
+                now = top = 0
+                for i in range(max(0, -g), min(len(b), len(d) - g)):
+                    now = max(0, now + (1 if b[i] == d[i + g] else -2))
+                    top = max(top, now)
+                best = max(best, (top, -g)) if best[0] else (top, -g)
+            if best[0] >= decontam.LEAST and (doc, item) not in out:
+                out[doc, item] = (best[0], -best[1])
+    return out
+
+
+def run(spark, docs, items):
+    d = spark.createDataFrame([(*x, 1, "s") for x in docs], "doc_id long, text string, h int, seed string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["score"], r["diagonal"]) for r in decontam.contaminated(d, b).collect()}, d, b
+
+
+def cases(prose):
+    r = random.Random(2)
+    items = [(i, " ".join(f"{w}{i % 3}" for w in prose(r.randint(14, 40), 50 + i).split())) for i in range(12)] + [(90, None), (91, "too short to have windows"), (92, "")]
+    docs = [(i, prose(200, i)) for i in range(30)]
+    for i in range(40, 70):
+        passage = items[i % 12][1].split()
+        if i % 3 == 1:  # substitutions, not next to each other
+            for k in range(3 + i % 4, len(passage), 9):
+                passage[k] = "changed"
+        if i % 3 == 2:
+            passage = passage[: len(passage) // 2 + 6]
+        docs.append((i, prose(30, i) + " " + ",\n".join(passage).upper() + ". " + prose(30, i)))
+    docs += [(80, None), (81, ""), (82, prose(20_000) + " " + items[3][1]), (83, items[5][1]), (83, items[5][1]), (84, items[1][1] + " " + items[2][1]), (None, items[4][1])]
+    return docs, items
+
+
+def test_against_brute_force(spark, prose):
+    docs, items = cases(prose)
+    got, d, b = run(spark, docs, items)
+    assert got == brute(docs, items)
+    found = {k[0] for k in got}
+    assert {82, 83, 84, None} <= found and all(i in found for i in range(40, 70) if i % 3 == 0) and not found & set(range(30))
+    substituted = [i for i in range(40, 70) if i % 3 == 1 and len(items[i % 12][1].split()) >= 16]
+    assert sum(i in found for i in substituted) >= 0.8 * len(substituted)
+    kept = decontam.decontaminate(d, b)
+    assert kept.columns == d.columns and sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, (i for i, _ in docs if i not in found)))
+
+
+def test_beyond_the_broadcast_bound(spark, prose, monkeypatch):
+    docs, items = cases(prose)
+    wanted, *_ = run(spark, docs[25:50], items)
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert run(spark, docs[25:50], items)[0] == wanted
+
+
+def test_empty_tables(spark, prose):
+    docs, items = cases(prose)
+    assert run(spark, [], items)[0] == {} and run(spark, docs, [])[0] == {}
+
+
+def test_no_python_in_the_plan(spark, prose):
+    docs, items = cases(prose)
+    d, b = (spark.createDataFrame(x, s) for x, s in ((docs[:3], "doc_id long, text string"), (items, "item_id long, text string")))
+    plan = decontam.decontaminate(d, b)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_finds_every_whole_passage(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["diagonal"]) for r in queries.op10_decontamination(spark, sf_dir).collect()}
+    assert got == brute(docs, items)
+    assert {(d, i) for d, t in docs for i, x in items if x in t and len(words(x)) >= decontam.SPAN} <= set(got)

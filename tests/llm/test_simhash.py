@@ -1,0 +1,163 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from notegraph.llm import queries, simhash
+from notegraph.llm.components import components, forest
+
+DOCS = "doc_id long, text string"
+
+
+def brute_fingerprint(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words, word = [], ""
+    for c in lowered + " ":
+        if c in " \t\n\x0b\x0c\r":
+            if word:
+                words.append(word)
+            word = ""
+        else:
+            word += c
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_components(items):
+    """{node: least node} of (node, fingerprint) pairs within 2 bits."""
+    parent = {n: n for n, _ in items}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, f) in enumerate(items):
+        for b, g in items[:i]:
+            if (f ^ g).bit_count() <= 2:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {n: find(n) for n, _ in items}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abCÉ \n\t\x1c ,"), max_size=40))
+def test_fingerprints(text):
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def test_long_text(prose):
+    assert simhash.fingerprint(prose(30_000).encode()) == brute_fingerprint(prose(30_000))
+
+
+def near(r, base, flips):
+    for b in r.sample(range(64), flips):
+        base ^= 1 << b
+    return base
+
+
+@pytest.mark.parametrize("split_over, pairs", [(1 << 17, 512), (20, 8), (1, 0)])
+def test_links_lose_nothing(spark, monkeypatch, split_over, pairs):
+    """Also where buckets are split, or searched by flipped bits."""
+    r = random.Random(split_over)
+    fps = {r.getrandbits(64) for _ in range(300)} | {0, 1, 3, 7, 2**64 - 1}
+    centre = r.getrandbits(64)
+    for _ in range(400):  # one crowded neighbourhood, and chains
+        fps.add(near(r, centre, r.choice([1, 2, 2, 3, 4])))
+    chain = r.getrandbits(64)
+    for _ in range(60):
+        chain = near(r, chain, 2)
+        fps.add(chain)
+    fps = sorted(fps)
+    monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = simhash.fingerprint_links(df, split_over)
+    pairs_found = {tuple(x) for x in links.collect()}
+    wanted = brute_components(list(enumerate(fps)))
+    got = brute_join(signed, pairs_found)
+    assert got == wanted
+
+
+def brute_join(nodes, edges):
+    at = {n: i for i, n in enumerate(nodes)}
+    parent = list(range(len(nodes)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(at[a]), find(at[b])
+        parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(nodes))}
+
+
+@pytest.mark.parametrize("n", [2, 16, 17, 600])
+def test_one_bucket(n):
+    r = random.Random(n)
+    base = r.getrandbits(64)
+    fps = np.unique(np.array([near(r, base, r.randint(0, 3)) for _ in range(n)], np.uint64))
+    a, b = simhash.bucket_edges(fps)
+    assert len(a) < len(fps)
+    wanted = brute_components(list(enumerate(fps.tolist())))
+    assert brute_join(fps.tolist(), zip(a.tolist(), b.tolist())) == wanted
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(5, 5), (7, 6), (6, 7), (-3, 2999)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()))
+    nodes = sorted({x for e in edges for x in e})
+    assert got == {nodes[i]: nodes[j] for i, j in brute_join(nodes, edges).items()}
+    node, least = forest(np.array([3, 2]), np.array([2, 1]))
+    assert (node.tolist(), least.tolist()) == ([2, 3], [1, 1])
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def corpus(prose):
+    r = random.Random(3)
+    rows = [(i, prose(60, i)) for i in range(60)]
+    for i in range(100, 220):  # near copies of one text: one word differs
+        words = prose(400, 999).split()
+        words[r.randrange(400)] = f"x{i % 40}"
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, prose(50, 5).upper().replace(" ", "  ")) for i in range(40)]
+    return rows + [(400, None), (401, ""), (402, " \n"), (403, "one"), (404, "two words"), (405, "ONE"), (5, prose(60, 5)), (None, prose(60, 7)), (None, "alone null id")]
+
+
+def test_against_brute_force(spark, prose):
+    rows = corpus(prose)
+    df = spark.createDataFrame([(*x, 1, "c") for x in rows], DOCS + ", fp int, component string").repartition(5)
+    got = sorted(((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=repr)
+    prints = [brute_fingerprint(t) for _, t in rows]
+    roots = brute_components([(i, f) for i, f in enumerate(prints)])
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[roots[i]] = min(doc, least.get(roots[i], doc))
+    assert got == sorted(((doc, prints[i], least.get(roots[i])) for i, (doc, _) in enumerate(rows)), key=repr)
+
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(ids, key=repr) == sorted({*least.values(), None}, key=repr)
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], DOCS)
+    assert simhash.near_duplicates(df).collect() == [] and simhash.one_of_each(df).collect() == []
+
+
+def test_query(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    prints = {i: brute_fingerprint(t) for i, t in docs.items()}
+    wanted = brute_components(sorted(prints.items()))
+    got = queries.op8_simhash(spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r["fingerprint"], r["component_id"]) == (f"{prints[r['doc_id']]:016x}", wanted[r["doc_id"]])
