@@ -42,12 +42,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/notegraph/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage at a table that outlives any executor, computes the plan once
     (``checkpoint()`` computes it twice) and gives the optimiser real sizes.
     """
-    path = f"{shared_folder(df.sparkSession)}/notegraph/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``materialise`` wrote; results not yet computed need them."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
