@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, shared_folder
+from ..session import materialise
 
-__all__ = ["bounded_sample", "held_out", "materialise", "shared_folder", "table"]
+__all__ = ["bounded_sample", "held_out", "materialise", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from ..session import own_folder
 
 MAGIC, VERSION, HEADER, SAMPLE = b"EFTK", 1, struct.Struct("<4sHHQQ"), 64
 #: Ids after which a block is closed (a document is never split).
@@ -290,6 +290,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Write the files (to a new shared folder if ``path`` is None) and read them back."""
     spark = docs.sparkSession
-    path = path or f"{shared_folder(spark)}/notegraph/tokens-{uuid.uuid4().hex}"
+    path = path or f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer)
     return read_token_files(spark, path)
