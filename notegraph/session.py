@@ -47,14 +47,20 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/notegraph/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Rows for each file of a written table whose number of rows is known.
+ROWS_A_FILE = 200_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage at a table that outlives any executor, computes the plan once
-    (``checkpoint()`` computes it twice) and gives the optimiser real sizes.
+    (``checkpoint()`` computes it twice) and gives the optimiser real sizes.  ``rows``, if
+    about known, keeps a small table from being cut into as many files as there are
+    shuffle partitions; it never adds partitions.
     """
     path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
