@@ -43,15 +43,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     table in the shared folder.  A centre that many nodes hang on is never collected:
     its minimum is pre-aggregated, and the join back on it can be split by Spark.
     """
-    now = materialise(edges.select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
-    state = None
+    now = materialise(edges.select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), "edges", edges.count())
+    state, n = None, now.count()
     for _ in range(max_rounds):
         both = now.select("a", "b").union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(small_least, F.col("a") == F.col("k"))
-        now = materialise(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        now = materialise(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges", n)
         summed = now.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if summed == state:
             break

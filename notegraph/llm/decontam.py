@@ -61,12 +61,12 @@ def stretch_score(doc: Column, item: Column, diagonal: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, score, diagonal: each pair of a document and an item found in it, once."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h"))
-    seeds = materialise(windows(items, ["item_id"]).distinct().withColumnRenamed("at", "item_at"), "seeds")
+    seeds = materialise(windows(items, ["item_id"]).distinct().withColumnRenamed("at", "item_at"), "seeds", 100 * benchmark.count())
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
     hits = windows(hashed, ["doc_id"]).join(seeds, "seed").select(F.col("doc_id").alias("hit_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    hits = materialise(hits, "seed-hits")
+    hits = materialise(hits, "seed-hits", docs.count())
     placed = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "item_id", "diagonal", word_hashes(F.col("text")).alias("doc_h"))
     compared = placed.join(items, "item_id").filter((F.col("diagonal") + F.size("h") > 0) & (F.col("diagonal") < F.size("doc_h")))
     scored = compared.select("doc_id", "item_id", "diagonal", stretch_score(F.col("doc_h"), F.col("h"), F.col("diagonal")).alias("score")).filter(F.col("score") >= least)
@@ -76,5 +76,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found."""
-    found = materialise(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("found_id")).distinct(), "contaminated")
+    found = materialise(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("found_id")).distinct(), "contaminated", docs.count())
     return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")

@@ -153,10 +153,12 @@ def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sent = materialise(rows.mapInArrow(_send(owners), _SENT_DDL), "fingerprints")
     prints = sent.filter(F.col("owner").isNull())
+    n = prints.count()
     bitmaps = sent.filter(F.col("owner").isNotNull()).select("block", "owner", "n", "k", "code").groupBy("owner").applyInPandas(_answer(owners), "block long, owner int, bitmap binary")
     suspects = materialise(
         prints.select("block", "place", "doc_id", "n_chars", "sha", "fp").groupBy("block").cogroup(bitmaps.groupBy("block")).applyInPandas(_mark(owners), "block long, place int, doc_id long, n_chars long, sha binary"),
         "suspects",
+        n,
     )
     ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi").select(F.translate("text", SPACE.decode(), "").alias("bytes"))

@@ -70,7 +70,8 @@ def exponent(totals: DataFrame, tokens: int, mix: Mix) -> float:
 
 def plan(sizes: DataFrame, mix: Mix) -> DataFrame:
     """source, weight, budget, blocks (full ones), cut (the last key taken of the next block)."""
-    totals = materialise(sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"), "mix-totals")
+    totals = materialise(sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"), "mix-totals", sizes.count())
+    n = totals.count()  # sources
     tokens = totals.agg(F.sum("tokens")).first()[0]
     if not tokens:
         return totals.select("source", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"), F.lit(0).cast("long").alias("blocks"), F.lit("").alias("cut"))
@@ -80,19 +81,19 @@ def plan(sizes: DataFrame, mix: Mix) -> DataFrame:
     weight = share / F.lit(scale)
     budget = F.round(weight * F.lit(float(mix.budget if mix.budget is not None else tokens))).cast("long")
     budgets = totals.select("source", "tokens", weight.alias("weight"), budget.alias("budget")).withColumn("blocks", F.floor(F.col("budget") / F.col("tokens")).cast("long")).withColumn("rest", F.col("budget") - F.col("blocks") * F.col("tokens"))
-    budgets = materialise(budgets, "mix-budgets")
+    budgets = materialise(budgets, "mix-budgets", n)
     named = budgets.withColumnRenamed("source", "own")
     keyed = sizes.join(named, F.col("source").eqNullSafe(F.col("own"))).select("source", "n_tokens", "rest", order_key(mix.seed, F.col("blocks")).alias("key")).withColumn("range", F.substring("key", 1, 3))
     sums = keyed.groupBy("source", "rest", "range").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")
     cut_range = sums.withColumn("before", before).filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).select(F.col("source").alias("cut_source"), F.col("range").alias("cut_range"), "before")
-    cut_range = materialise(cut_range, "mix-cuts")
+    cut_range = materialise(cut_range, "mix-cuts", n)
     inside = keyed.join(cut_range, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("range") == F.col("cut_range")))
     # Rows with one key are peers of the window's range, so they fit together or not at all.
     fits = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key"))).filter("upto <= rest")
     last = fits.groupBy("source").agg(F.max("key").alias("last")).select(F.col("source").alias("last_source"), "last")
     cuts = cut_range.join(last, F.col("cut_source").eqNullSafe(F.col("last_source")), "left").select("cut_source", F.coalesce("last", "cut_range").alias("cut"))
-    return materialise(budgets.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select("source", "weight", "budget", "blocks", F.coalesce("cut", F.lit("")).alias("cut")), "mix-plan")
+    return materialise(budgets.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select("source", "weight", "budget", "blocks", F.coalesce("cut", F.lit("")).alias("cut")), "mix-plan", n)
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def fingerprint_links(fps: DataFrame, split_over: int = 1 << 17) -> DataFrame:
     Buckets of more than ``split_over`` members are split by finer variants and never held whole.
     """
     meet = lambda variants, over: variants.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(_linker(over), "a long, b long, variant long")
-    first = materialise(meet(fps.select("fp").mapInArrow(_variants, "variant long, fp long"), split_over), "simhash-links")
+    first = materialise(meet(fps.select("fp").mapInArrow(_variants, "variant long, fp long"), split_over), "simhash-links", 32 * fps.count())
     links, large = first.filter("b is not null").select("a", "b"), first.filter("variant is not null").select("a", "variant")
     if not large.isEmpty():
         finer = meet(large.mapInArrow(_subvariants, "variant long, fp long"), 1 << 18)
@@ -196,9 +196,10 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text)."""
     prints = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column().alias("fp")), "simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    n = prints.count()
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", n)
     members = fingerprint_components(distinct).join(distinct.withColumnRenamed("fp", "own_fp"), F.col("fp") == F.col("own_fp")).select("fp", "component", "least")
-    members = materialise(members, "simhash-components")
+    members = materialise(members, "simhash-components", n)
     ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = members.join(ids, "component").select(F.col("fp").alias("own_fp"), "component_id")
     return prints.join(by_fp, F.col("fp") == F.col("own_fp"), "left").select("doc_id", "fp", "component_id")
@@ -210,9 +211,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that share a doc_id one stays: the one whose text has the least XXH64, then
     the least in all columns.
     """
-    found = materialise(near_duplicates(docs), "simhash-classes")
+    found = materialise(near_duplicates(docs), "simhash-classes", docs.count())
     by_id = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("least"))
-    kept = materialise(by_id.filter("least").select("kept_id", "rows"), "simhash-kept")
+    kept = materialise(by_id.filter("least").select("kept_id", "rows"), "simhash-kept", found.count())
     chosen = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
     single, repeated = chosen(kept.filter("rows = 1")), kept.filter("rows > 1")
     if repeated.isEmpty():

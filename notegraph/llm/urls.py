@@ -69,10 +69,11 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).withColumn("rule_id", F.monotonically_increasing_id())
-    rules = materialise(rules.select("rule_id", "antecedent", "confidence", "lift", "support"), "url-rules")
+    # The support bound limits the rules, so one file holds them.
+    rules = materialise(rules.select("rule_id", "antecedent", "confidence", "lift", "support"), "url-rules", 1)
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("key"), "freq")
     rarest = rules.select("rule_id", F.explode("antecedent").alias("key")).join(single, "key").groupBy("rule_id").agg(F.min_by("key", F.struct("freq", "key")).alias("key"))
-    return materialise(rules.join(rarest, "rule_id").select("antecedent", "key", "confidence", "lift", "support"), "url-index")
+    return materialise(rules.join(rarest, "rule_id").select("antecedent", "key", "confidence", "lift", "support"), "url-index", rules.count())
 
 
 def judge(pages: DataFrame, rules: DataFrame, mined: DataFrame, key: str = "page_id") -> DataFrame:
