@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from yaml.resolver import BaseResolver
 
-from .values import FIELDS, WHITE_SPACE, to_cell
+from .values import FIELDS, WHITE_SPACE, display, to_json, to_number, type_name
 
 OK, ABSENT, INVALID = "ok", "no_frontmatter", "invalid"
 _PLAIN_TAG = "plain"
@@ -102,32 +102,41 @@ def read_yaml(text: str) -> dict[str, object]:
     return value
 
 
-# Lines that mean the same with or without a YAML parser: a word key, and a value of
-# word characters, dots, slashes and inner dashes or spaces.
-_SIMPLE = re.compile(r"(?:([A-Za-z_][\w-]*):(?: ([\w.+-](?:[\w./+ -]*[\w./+-])?))?|  - ([\w.+](?:[\w./+ -]*[\w./+-])?))\Z")
+# Lines that mean the same with or without a YAML parser: a word key or a list item, and
+# a value of word characters, dots, slashes and inner dashes or spaces, or one in quotes
+# without an escape.
+_VALUE = r"""([\w.+-](?:[\w./+ -]*[\w./+-])?)|"([^"\\]*)"|'([^']*)'"""
+_SIMPLE = re.compile(rf"(?:([A-Za-z_][\w-]*):(?: (?:{_VALUE}))?|  - (?:{_VALUE}))\Z")
 
 
 def read_fields(text: str) -> dict[str, object]:
     """``read_yaml``, with a short way for plain lines and block lists."""
+    if not text.isascii():
+        return read_yaml(text)
     out: dict[str, object] = {}
-    key = None
+    key, items = None, None  # the key of the last line but items, and its list, if it has no value
     for line in text.split("\n"):
         m = _SIMPLE.match(line)
-        if m is None or line.isascii() is False:
+        if m is None:
             return read_yaml(text)
-        name, value, item = m.groups()
+        name, plain, double, single, item, item_double, item_single = m.groups()
         if name is not None:
-            if name in out or name in _WORDS or (value or "").startswith(("- ", "-\t")) or value == "-":
+            if name in out or name in _WORDS:
                 return read_yaml(text)
-            key = name
-            out[key] = plain_scalar(value) if value else None
+            key, items = name, None
+            if plain is not None:
+                if plain[0] == "-" and plain[1:2] in ("", " "):
+                    return read_yaml(text)
+                out[key] = plain_scalar(plain)
+            elif double is not None or single is not None:
+                out[key] = double if double is not None else single
+            else:
+                out[key], items = None, []
         else:
-            if key is None or not (out[key] is None or isinstance(out[key], list)) or (out[key] is None and last_had_value):
+            if items is None or item is not None and item[0] == "-" and item[1:2] in ("", " "):
                 return read_yaml(text)
-            if out[key] is None:
-                out[key] = []
-            out[key].append(plain_scalar(item))
-        last_had_value = bool(value)
+            items.append(plain_scalar(item) if item is not None else item_double if item_double is not None else item_single)
+            out[key] = items
     return out
 
 
@@ -172,14 +181,31 @@ NOTE_DDL = f"status string, body_length long, fields {FIELDS}"
 
 
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Columns are built from flat lists: one entry for each field, one for each list item."""
     for texts in batches:
-        status, lengths, fields = [], [], []
+        status, lengths, ends, keys = [], [], [0], []
+        kinds, texts_of, numbers, jsons, item_ends, is_list, item_kinds, item_texts = [], [], [], [], [0], [], [], []
         for text in texts.to_pylist():
-            s, n, f = read_note(text or "")
-            status.append(s)
-            lengths.append(n)
-            fields.append([(k, to_cell(v)) for k, v in f.items()])
-        yield pa.StructArray.from_arrays([pa.array(status, pa.string()), pa.array(lengths, pa.int64()), pa.array(fields, pa.map_(pa.string(), _CELL))], ["status", "body_length", "fields"])
+            state, length, fields = read_note(text or "")
+            status.append(state)
+            lengths.append(length)
+            for key, value in fields.items():
+                keys.append(key)
+                kinds.append(type_name(value))
+                texts_of.append(display(value))
+                numbers.append(to_number(value))
+                jsons.append(to_json(value))
+                is_list.append(isinstance(value, list))
+                if is_list[-1]:
+                    item_kinds += map(type_name, value)
+                    item_texts += map(display, value)
+                item_ends.append(len(item_kinds))
+            ends.append(len(keys))
+        item = pa.StructArray.from_arrays([pa.array(item_kinds, pa.string()), pa.array(item_texts, pa.string())], fields=list(_ITEM))
+        offsets = pa.array([e if there else None for e, there in zip(item_ends, is_list)] + item_ends[-1:], pa.int32())
+        cells = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts_of, pa.string()), pa.array(numbers, pa.float64()), pa.ListArray.from_arrays(offsets, item), pa.array(jsons, pa.string())], fields=list(_CELL))
+        fields_of = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), cells)
+        yield pa.StructArray.from_arrays([pa.array(status, pa.string()), pa.array(lengths, pa.int64()), fields_of], ["status", "body_length", "fields"])
 
 
 def parsed(content: Column) -> Column:

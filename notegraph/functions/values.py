@@ -29,7 +29,10 @@ _NUMBER = re.compile(NUMBER[:-1] + r"\Z", re.IGNORECASE | re.ASCII)
 
 
 def parse_number(text: str) -> float | None:
-    return float(text) if _NUMBER.match(text) else None
+    return float(text) if text[:1] in _NUMBER_STARTS and _NUMBER.match(text) else None
+
+
+_NUMBER_STARTS = frozenset("+-.0123456789iInN")
 
 
 def number_of(text: Column) -> Column:
@@ -45,11 +48,11 @@ def trim_space(text: Column) -> Column:
 
 def float_text(x: float) -> str:
     """Shortest decimal digits, never an exponent, no ``.0``."""
-    if math.isnan(x):
-        return "NaN"
-    if math.isinf(x):
-        return "inf" if x > 0 else "-inf"
-    text = format(Decimal(repr(x)), "f")
+    if not math.isfinite(x):
+        return "NaN" if math.isnan(x) else "inf" if x > 0 else "-inf"
+    text = repr(x)
+    if "e" in text:
+        text = format(Decimal(text), "f")
     return text[:-2] if text.endswith(".0") else text
 
 
@@ -71,13 +74,16 @@ def float_text_column(x: Column) -> Column:
 # --- Python values of the parser -------------------------------------------------
 
 
+_TYPE_NAMES = {type(None): "null", bool: "bool", int: "integer", float: "float", str: "string", list: "list", dict: "map"}
+
+
 def type_name(value: object) -> str:
-    if value is None:
-        return "null"
-    return {bool: "bool", int: "integer", float: "float", str: "string", list: "list", dict: "map"}[type(value)]
+    return _TYPE_NAMES[type(value)]
 
 
 def display(value: object) -> str:
+    if isinstance(value, str):
+        return value
     if value is None:
         return ""
     if isinstance(value, bool):
@@ -99,18 +105,22 @@ def to_number(value: object) -> float | None:
     return parse_number(value) if isinstance(value, str) else None
 
 
-def _finite(value: object) -> object:
-    if isinstance(value, float) and not math.isfinite(value):
-        return None
-    if isinstance(value, list):
-        return [_finite(x) for x in value]
-    if isinstance(value, dict):
-        return {k: _finite(x) for k, x in value.items()}
-    return value
+_PLAIN_TEXT = re.compile(r"[ !#-\[\]-~]*\Z")
 
 
 def to_json(value: object) -> str:
-    return json.dumps(_finite(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """Compact JSON, keys in order; what JSON has no number for becomes null."""
+    if isinstance(value, str):
+        return f'"{value}"' if _PLAIN_TEXT.match(value) else json.dumps(value, ensure_ascii=False)
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, list):
+        return f"[{','.join(map(to_json, value))}]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{to_json(k)}:{to_json(value[k])}" for k in sorted(value)) + "}"
+    return repr(value) if isinstance(value, int) or math.isfinite(value) else "null"
 
 
 def to_cell(value: object) -> dict:

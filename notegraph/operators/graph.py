@@ -164,8 +164,8 @@ class Graph:
         walked = walked.join(shown, "name", "inner" if where else "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
         alone = (F.col("depth") == 0) & ~F.col("resolved")
         if not where:
-            others = walked.filter("depth > 0").agg(F.count("*").alias("others"))
-            walked = walked.join(F.broadcast(others)).filter(~alone | (F.col("others") > 0)).drop("others")
+            others = walked.filter("depth > 0").agg(F.count("*").alias("others")).scalar()
+            walked = walked.filter(~alone | (others > 0))
         return walked.select("name", "depth", "route", "resolved", *select).orderBy("depth", "route")
 
     # -- unresolved --------------------------------------------------------------

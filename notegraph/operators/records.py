@@ -85,14 +85,13 @@ class Records:
 
     def field_profile(self) -> DataFrame:
         """field, types (sorted, joined), non_null, present, coverage in whole percent (half to even)."""
-        total = self.df.agg(F.count("*").alias("total"))
+        total = self.df.agg(F.count("*").alias("total")).scalar()
         by_field = (
             self.entries()
             .groupBy("field")
             .agg(F.array_join(F.array_sort(F.collect_set("cell.type")), ", ").alias("types"), F.count_if(F.col("cell.type") != "null").alias("non_null"), F.count("*").alias("present"))
         )
-        # One row: the total is a scalar subquery, not a collected value.
-        return by_field.join(F.broadcast(total)).select("field", "types", "non_null", "present", F.bround(F.col("present") / F.col("total") * 100, 0).cast("int").alias("coverage"))
+        return by_field.select("field", "types", "non_null", "present", F.bround(F.col("present") / total * 100, 0).cast("int").alias("coverage"))
 
     def tags(self, field: str = "tags") -> DataFrame:
         """tag, n: text items of list-valued ``field``, most frequent first."""

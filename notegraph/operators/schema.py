@@ -113,7 +113,7 @@ def infer(records: Records) -> DataFrame:
     values, under half as many as there are scalars, make an enum; only 11 distinct
     values of a field are ever gathered.
     """
-    total = F.broadcast(records.df.agg(F.count("*").alias("total")))
+    total = records.df.agg(F.count("*").alias("total")).scalar()
     entries = records.entries().select("field", "cell.type", "cell.disp")
     by_type = entries.groupBy("field", "type").agg(F.count("*").alias("n"))
     types = by_type.groupBy("field").agg(
@@ -124,7 +124,7 @@ def infer(records: Records) -> DataFrame:
     counted = values.groupBy("field").agg(F.count("*").alias("distinct"), F.sum("n").alias("scalars"))
     few = counted.filter((F.col("distinct") <= 10) & (F.col("distinct") < F.floor(F.col("scalars") / 2))).select("field")
     enums = values.join(few, "field").groupBy("field").agg(F.array_sort(F.collect_list("disp")).alias("enum"))
-    return types.join(enums, "field", "left").join(total).select("field", "type", (F.col("non_null") == F.col("total")).alias("required"), "enum").orderBy("field")
+    return types.join(enums, "field", "left").select("field", "type", (F.col("non_null") == total).alias("required"), "enum").orderBy("field")
 
 
 def infer_collection(records: Records, folder: str) -> Collection:

@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out to all of them.
+
+    Making and parsing notes costs far more than reading a table's rows, and a table of
+    so few partitions is small; larger scans are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def note_name(letter: str, key: Column) -> Column:
     return F.format_string(f"{letter}%09d", key.cast("long"))
 
@@ -49,7 +59,7 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vip`` is set, null or absent by the key; ``code`` is quoted digits; the link is in the frontmatter."""
-    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = spread(table(spark, sf_dir, "customer")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("c_custkey")
     vip = F.when(key % 3 == 0, F.when(key % 2 == 0, "vip: gold\n").otherwise("vip: silver\n")).when(key % 3 == 1, "vip:\n").otherwise("")
     code = F.format_string('code: "%03d"\n', key % 10)
@@ -69,30 +79,30 @@ def _order_lines() -> list[Column]:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(*note("orders", note_name("O", F.col("o_orderkey")), _order_lines(), F.concat(F.lit("\nFor "), link(note_name("C", F.col("o_custkey"))), F.lit(".\n"))))
+    return spread(table(spark, sf_dir, "orders")).select(*note("orders", note_name("O", F.col("o_orderkey")), _order_lines(), F.concat(F.lit("\nFor "), link(note_name("C", F.col("o_custkey"))), F.lit(".\n"))))
 
 
 def orders_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that link to each of their distinct parts."""
     parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), link(note_name("P", F.col("l_partkey")))))), "\n").alias("parts"))
-    joined = table(spark, sf_dir, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    joined = spread(table(spark, sf_dir, "orders")).join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(*note("orders", note_name("O", F.col("o_orderkey")), _order_lines(), F.coalesce("parts", F.lit(""))))
 
 
 def parts(spark: SparkSession, sf_dir: str, folder: str = "parts", where: str = "true") -> DataFrame:
     lines = [block_list("tags", F.lit("type/part"), F.concat(F.lit("brand/"), "p_brand")), line("size", F.col("p_size")), line("type", F.col("p_type")), line("retailprice", money(F.col("p_retailprice")))]
-    return table(spark, sf_dir, "part").filter(where).select(*note(folder, note_name("P", F.col("p_partkey")), lines, F.concat(F.lit("\n"), "p_name", F.lit("\n"))))
+    return spread(table(spark, sf_dir, "part")).filter(where).select(*note(folder, note_name("P", F.col("p_partkey")), lines, F.concat(F.lit("\n"), "p_name", F.lit("\n"))))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``props`` is a flow map: the table's JSON."""
     lines = [line("kind", F.col("event_type")), line("user", F.col("user_id")), line("value", money(F.col("value"))), line("props", F.col("props"))]
-    return table(spark, sf_dir, "events").select(*note("events", note_name("E", F.col("event_id")), lines, F.lit("")))
+    return spread(table(spark, sf_dir, "events")).select(*note("events", note_name("E", F.col("event_id")), lines, F.lit("")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``quality`` and ``toxic`` only where the document is labelled; the body is its text."""
-    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    joined = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     marks = F.when(F.col("quality").isNotNull(), F.concat(line("quality", F.col("quality")), line("toxic", F.col("toxic")))).otherwise("")
     lines = [block_list("tags", F.concat(F.lit("lang/"), "lang")), line("source", F.col("source")), line("n_chars", F.col("n_chars")), marks]
     return joined.select(*note("documents", note_name("D", F.col("doc_id")), lines, F.coalesce("text", F.lit(""))))
