@@ -47,6 +47,17 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/notegraph/{spark.sparkContext.applicationId}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Arrow batches of texts hold ``rows`` rows, unless the session sets another number.
+
+    Spark's default of 10,000 rows makes batches of tens of MB where rows are texts, in
+    the JVM's off-heap memory and in the Python worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 #: Rows for each file of a written table whose number of rows is known.
 ROWS_A_FILE = 200_000
 
