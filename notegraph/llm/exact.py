@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 
 BLOCK = 1 << 16
 SPACE = b" \t\n\x0b\x0c\r"
@@ -149,6 +149,7 @@ def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     ``owners``: hash ranges of the exchange; the session's number of shuffle partitions if None.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sent = materialise(rows.mapInArrow(_send(owners), _SENT_DDL), "fingerprints")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample
 
 FEATURES = 1 << 16
 #: Bytes handled at once; longer texts are summed piece by piece, with an overlap of two bytes.
@@ -112,6 +112,7 @@ def fit(train: DataFrame, per_language: int = 3000) -> LanguageModel:
 
     The trigram counts are summed by Spark; at most languages x FEATURES sums reach the driver.
     """
+    bound_batches(train.sparkSession)
     rows = bounded_sample(train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +141,7 @@ def predict(model: LanguageModel, docs: DataFrame, text: str = "text") -> Column
     """A struct column lang_pred, score, ambiguous for the column ``text``."""
     if not model.languages:
         return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, ambiguous boolean")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample
 
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
@@ -118,6 +118,7 @@ def score(model: QualityModel, docs: DataFrame, text: str = "text") -> Column:
     """A double column: the calibrated score of the column ``text``."""
     if not model.usable:
         return F.lit(0.5)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

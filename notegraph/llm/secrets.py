@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -166,6 +166,7 @@ def discovery_bounds(tried: DataFrame, level: float = FALSE_DISCOVERY) -> dict[i
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and all spans (arrays of start, rank, end, kind, in order) of each row."""
+    bound_batches(docs.sparkSession)
     scan = F.arrow_udf(_scan, f"base array<{_SPAN}>, tried array<struct<start: bigint, end: bigint, length_class: int, tenths: int>>").asNondeterministic()
     found = materialise(docs.select("doc_id", scan(F.col("text")).alias("found")).select("doc_id", "found.base", "found.tried"), "secrets")
     bounds = discovery_bounds(found.select(F.explode("tried").alias("x")).select("x.length_class", "x.tenths"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 from .components import components, forest
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -195,6 +195,7 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     prints = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column().alias("fp")), "simhash")
     n = prints.count()
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", n)
@@ -214,7 +215,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = materialise(near_duplicates(docs), "simhash-classes", docs.count())
     by_id = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("least"))
     kept = materialise(by_id.filter("least").select("kept_id", "rows"), "simhash-kept", found.count())
-    chosen = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    # The ids grow with the table, so they are hashed in parts and never broadcast; texts are not sorted.
+    chosen = lambda ids: docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
     single, repeated = chosen(kept.filter("rows = 1")), kept.filter("rows > 1")
     if repeated.isEmpty():
         return single

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import own_folder
+from ..session import bound_batches, own_folder
 
 MAGIC, VERSION, HEADER, SAMPLE = b"EFTK", 1, struct.Struct("<4sHHQQ"), 64
 #: Ids after which a block is closed (a document is never split).
@@ -206,6 +206,19 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``SLICE_BYTES``, for words that recur."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -251,12 +264,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, writer = encoder(tokenizer), BlockWriter(TaskContext.get().partitionId())
-        for batch in batches:
+        for batch in joined(batches):
             doc_ids, texts = batch.column(0), batch.column(1)
             for at, n in slices(texts):
                 yield from writer.add(doc_ids.slice(at, n), *coder.encode(texts.slice(at, n), end_id))
         yield from writer.rest()
 
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
