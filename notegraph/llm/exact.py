@@ -162,7 +162,8 @@ def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
         n,
     )
     ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi").select(F.translate("text", SPACE.decode(), "").alias("bytes"))
+    # The ids grow with the table, so they are hashed in parts and never broadcast; texts are not sorted.
+    texts = rows.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi").select(F.translate("text", SPACE.decode(), "").alias("bytes"))
     by_bytes = texts.groupBy("bytes").agg(F.count("*").alias("group_size")).select(F.unhex(F.sha2("bytes", 256)).alias("group_sha"), "group_size")
     best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("block").alias("not_block"), F.bitwise_not("place").alias("not_place")))
     keepers = suspects.groupBy("sha").agg(best.alias("best"), F.count("*").alias("members"))
