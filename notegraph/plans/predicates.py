@@ -17,7 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidPredicate, RegexError
-from ..functions.values import WHITE_SPACE, float_text, parse_number
+from ..functions.values import WHITE_SPACE, parse_number
 from .values import Value
 
 # Fixed order of the operator search: (text, operator, negated).
@@ -178,7 +178,3 @@ def compile_clauses(clauses: list[tuple[Term, ...]], resolve: Callable[[str], Va
             either = held if either is None else either | held
         whole = either if whole is None else whole & either
     return F.lit(True) if whole is None else whole
-
-
-def number_text(x: float) -> str:
-    return float_text(float(x))

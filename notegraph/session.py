@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -75,8 +76,24 @@ def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, list[DataFrame]] = {}
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, kept on the executors' disks once it is computed.
+
+    For wide results of one pass that a few later steps read: nothing goes through the
+    shared folder, and parts that go with a lost executor are computed again from their
+    input.  Where a lineage grows step by step, or must not be run twice, ``materialise``.
+    """
+    _KEPT.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete the tables that ``materialise`` wrote; results not yet computed need them."""
+    """Drop what ``keep`` and ``materialise`` hold; results not yet computed need the latter."""
+    for df in _KEPT.pop(spark.sparkContext.applicationId, []):
+        df.unpersist()
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,3 +15,12 @@ def test_written_tables_stay_until_cleared(spark):
     assert materialise(spark.range(0), "none").collect() == []
     clear(spark)
     assert not os.path.exists(own_folder(spark))
+
+
+def test_kept_results_are_computed_once(spark):
+    from notegraph.session import keep
+
+    kept = keep(spark.range(5).select("id", F.rand().alias("x")))
+    assert sorted(kept.collect()) == sorted(kept.collect()) and kept.storageLevel.useDisk and not kept.storageLevel.useMemory
+    clear(spark)
+    assert not kept.storageLevel.useDisk
