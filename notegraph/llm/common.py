@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import bound_batches, materialise
+from ..session import bound_batches, keep, materialise
 
-__all__ = ["bound_batches", "bounded_sample", "held_out", "materialise", "table"]
+__all__ = ["bound_batches", "bounded_sample", "held_out", "keep", "materialise", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import keep, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS, WAYS = 6, 16  # 16 parts, 6 times: 24 halvings
@@ -113,12 +113,12 @@ def realise(rows: DataFrame, planned: DataFrame, mix: Mix) -> DataFrame:
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, source, n_tokens, block, order_key of each document taken, once for each block."""
-    sizes = materialise(sizes_of(docs), "mix-sizes")
+    sizes = keep(sizes_of(docs))
     return realise(sizes, plan(sizes, mix), mix)
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mixture takes them; texts aren't shuffled."""
-    planned = plan(materialise(sizes_of(docs), "mix-sizes"), mix)
+    planned = plan(keep(sizes_of(docs)), mix)
     packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return realise(packed, planned, mix).select("row.*")

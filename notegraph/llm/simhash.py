@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, keep, materialise
 from .components import components, forest
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -179,7 +179,7 @@ def fingerprint_links(fps: DataFrame, split_over: int = 1 << 17) -> DataFrame:
     Buckets of more than ``split_over`` members are split by finer variants and never held whole.
     """
     meet = lambda variants, over: variants.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(_linker(over), "a long, b long, variant long")
-    first = materialise(meet(fps.select("fp").mapInArrow(_variants, "variant long, fp long"), split_over), "simhash-links", 32 * fps.count())
+    first = keep(meet(fps.select("fp").mapInArrow(_variants, "variant long, fp long"), split_over))
     links, large = first.filter("b is not null").select("a", "b"), first.filter("variant is not null").select("a", "variant")
     if not large.isEmpty():
         finer = meet(large.mapInArrow(_subvariants, "variant long, fp long"), 1 << 18)
@@ -196,7 +196,7 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text)."""
     bound_batches(docs.sparkSession)
-    prints = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column().alias("fp")), "simhash")
+    prints = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column().alias("fp")))
     n = prints.count()
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", n)
     members = fingerprint_components(distinct).join(distinct.withColumnRenamed("fp", "own_fp"), F.col("fp") == F.col("own_fp")).select("fp", "component", "least")
