@@ -67,11 +67,12 @@ def fingerprint_column(text: str = "text") -> Column:
 
 
 def bucket_edges(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of one bucket's fingerprints (sorted, distinct) within 2 bits."""
+    """Links of a spanning forest of one bucket's fingerprints (distinct, in any order) within 2 bits."""
     if len(fps) <= PAIRS_UP_TO:
         i, j = np.triu_indices(len(fps), 1)
         near = np.bitwise_count(fps[i] ^ fps[j]) <= DISTANCE
         return forest(fps[j[near]], fps[i[near]])
+    fps = np.sort(fps)  # they come in the order of signed longs
     differ = int(np.bitwise_or.reduce(fps ^ fps[0]))  # a bit that all share needs no flip
     free = [np.uint64(1 << k) for k in range(64) if differ >> k & 1]
     links = (fps[:0], fps[:0])

@@ -109,6 +109,17 @@ def test_one_bucket(n):
     assert brute_join(fps.tolist(), zip(a.tolist(), b.tolist())) == wanted
 
 
+def test_large_buckets_on_both_sides_of_the_sign_bit(spark):
+    """Over PAIRS_UP_TO fingerprints share the low half; the halves of the planted pairs differ in 2 bits, bit 63 among them or not."""
+    r, low = random.Random(9), 0x89ABCDEF
+    highs = {r.getrandbits(32) for _ in range(2000)}
+    for h in sorted(highs)[:600]:
+        highs.add(h ^ (1 << 31 if r.random() < 0.3 else 1 << r.randrange(31)) ^ 1 << r.randrange(31))
+    fps = np.sort(np.array([h << 32 | low for h in sorted(highs)], np.uint64).view(np.int64))
+    links = {tuple(x) for x in simhash.fingerprint_links(spark.createDataFrame([(x,) for x in fps.tolist()], "fp long")).collect()}
+    assert brute_join(fps.tolist(), links) == brute_components(list(enumerate(fps.view(np.uint64).tolist())))
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(5, 5), (7, 6), (6, 7), (-3, 2999)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()))
