@@ -4,8 +4,13 @@ Texts become lower-case words (runs of letters and digits).  A seed is the hash
 words of a window at the fixed positions of a mask; the others are ignored, so a window
 still hits where those words were replaced.  Seeds of all windows of all documents join
 those of all benchmark windows.  A hit names a diagonal (document position less item
-position); along it, around the hit, each word of the item is compared, and the best
-stretch by +1 for an equal and -2 for an unequal word must reach ``least``.
+position); along it each word of the item is compared.  The pair is reported if the best
+stretch by +1 for an equal and -2 for an unequal word reaches ``least``, or if at least
+four fifths of all the item's words are equal.
+
+Any two words of a window are ignored together by one of ``MASKS``.  With ``LONG``, for
+three words in the middle of 15 to 17, each passage of ``SPAN`` words or more of which at
+most a fifth was replaced, wherever, has a seed hit (the tests try every choice of words).
 
 The benchmark's seeds are broadcast if their number is within ``BROADCAST_SEEDS``;
 beyond, Spark shuffles both sides.  Words of documents are hashed once; windows are
@@ -24,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Fixed masks: 1 is compared, 0 ignored.
-MASKS = ("1101100111", "1110011011")
+#: Fixed masks: 1 is compared, 0 ignored.  Each pair of positions is ignored by one of them.
+MASKS = ("1100101100", "0010110110", "1011001010", "0110011001", "0101100011", "1001010101")
+LONG = "111110000011111"
 SPAN = 10
 LEAST = 10
 #: Two longs and an int for each seed: at most about 100 MB in memory.
@@ -40,22 +46,27 @@ def word_hashes(text: Column) -> Column:
 def windows(df: DataFrame, keep: list[str]) -> DataFrame:
     """A row (*keep, at, seed) for each window and mask of ``df`` (*keep, h)."""
     starts = df.filter(F.size("h") >= SPAN).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("at"))
-    seeds = [F.xxhash64(F.lit(m), *[F.element_at("h", F.col("at") + (i + 1)) for i, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(MASKS)]
-    return starts.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
+
+    def seed(m: int, mask: str) -> Column:
+        hashed = F.xxhash64(F.lit(m), *[F.get("h", F.col("at") + i) for i, x in enumerate(mask) if x == "1"])
+        return hashed if len(mask) <= SPAN else F.when(F.col("at") + len(mask) <= F.size("h"), hashed)
+
+    seeds = F.array(*[seed(m, mask) for m, mask in enumerate((*MASKS, LONG))])
+    return starts.select(*keep, "at", F.explode(seeds).alias("seed")).filter("seed is not null")
 
 
 def stretch_score(doc: Column, item: Column, diagonal: Column) -> Column:
-    """The best stretch along a diagonal, +1 for each equal word and -2 for each unequal one."""
+    """Along a diagonal, the best stretch (+1 for each equal word, -2 for each unequal one) and the number of equal words."""
     first = F.greatest(F.lit(0), -diagonal)
     n = F.least(F.size(item), F.size(doc) - diagonal) - first
     equal = F.zip_with(F.slice(doc, diagonal + first + 1, n), F.slice(item, first + 1, n), lambda a, b: F.when(a == b, F.lit(1)).otherwise(F.lit(-2)))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("equal"))
 
     def step(acc: Column, x: Column) -> Column:
         now = F.greatest(F.lit(0), acc["now"] + x)
-        return F.struct(now.alias("now"), F.greatest(acc["best"], now).alias("best"))
+        return F.struct(now.alias("now"), F.greatest(acc["best"], now).alias("best"), (acc["equal"] + (x > 0).cast("int")).alias("equal"))
 
-    return F.aggregate(equal, start, step, lambda acc: acc["best"])
+    return F.aggregate(equal, start, step, lambda acc: F.struct(acc["best"].alias("score"), acc["equal"].alias("equal")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
@@ -69,7 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     hits = materialise(hits, "seed-hits", docs.count())
     placed = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "item_id", "diagonal", word_hashes(F.col("text")).alias("doc_h"))
     compared = placed.join(items, "item_id").filter((F.col("diagonal") + F.size("h") > 0) & (F.col("diagonal") < F.size("doc_h")))
-    scored = compared.select("doc_id", "item_id", "diagonal", stretch_score(F.col("doc_h"), F.col("h"), F.col("diagonal")).alias("score")).filter(F.col("score") >= least)
+    scored = compared.select("doc_id", "item_id", "diagonal", F.size("h").alias("n"), stretch_score(F.col("doc_h"), F.col("h"), F.col("diagonal")).alias("s"))
+    scored = scored.filter((F.col("s.score") >= least) | (F.col("s.equal") * 5 >= F.col("n") * 4)).select("doc_id", "item_id", "diagonal", "s.score")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("diagonal")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("diagonal"))
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -76,6 +77,38 @@ def test_beyond_the_broadcast_bound(spark, prose, monkeypatch):
     assert run(spark, docs[25:50], items)[0] == wanted
 
 
+def test_seeds_miss_no_choice_of_a_fifth_of_the_words():
+    """Of the windows of SPAN words into which a longer passage can be cut, one has two replaced words at most."""
+    masks = (*decontam.MASKS, decontam.LONG)
+    for n in range(decontam.SPAN, 25):
+        placed = [sum(1 << at + i for i, x in enumerate(m) if x == "1") for m in masks for at in range(n - len(m) + 1)]
+        for chosen in itertools.combinations(range(n), n // 5):
+            bits = sum(1 << i for i in chosen)
+            assert any(not p & bits for p in placed), (n, chosen)
+
+
+def test_a_fifth_of_the_words_replaced_anywhere(spark, prose):
+    """Against every diagonal, whether it has a seed or not."""
+    r = random.Random(8)
+    items = [(n, " ".join(f"{w}{n}" for w in prose(n, n).split())) for n in (10, 14, 15, 16, 17, 19, 20, 33, 60)]
+    docs, wanted = [], set()
+    for n, text in items:
+        choices = [list(range(k, n, 5)) for k in range(5)] + [sorted(r.sample(range(n), n // 5)) for _ in range(6)] + [list(range(n // 2 - n // 10, n // 2 - n // 10 + n // 5))]
+        for chosen in choices + [sorted(r.sample(range(n), n // 2)) for _ in range(2)]:
+            passage = [f"x{i}" if i in chosen else w for i, w in enumerate(text.split())]
+            if len(chosen) <= n // 5:
+                wanted.add((len(docs), n))
+            docs.append((len(docs), f"{prose(20, len(docs))} {' '.join(passage)} {prose(20, n)}"))
+    got = run(spark, docs, items)[0]
+    every = set()
+    for d, text in docs:
+        for n, item in items:
+            a, b = words(text), words(item)
+            every |= {(d, n) for g in range(-n, len(a)) if 5 * sum(0 <= i + g < len(a) and a[i + g] == w for i, w in enumerate(b)) >= 4 * n}
+    assert every == wanted and wanted <= set(got)
+    assert all(got[k][0] >= decontam.LEAST for k in set(got) - wanted)
+
+
 def test_empty_tables(spark, prose):
     docs, items = cases(prose)
     assert run(spark, [], items)[0] == {} and run(spark, docs, [])[0] == {}
