@@ -16,8 +16,12 @@ The benchmark's seeds are broadcast if their number is within ``BROADCAST_SEEDS`
 beyond, Spark shuffles both sides.  Words of documents are hashed once; windows are
 made and probed in one pass, and only hits leave it.
 
-Defined cases: null or empty texts have no words; an item or a document of fewer words
-than a mask spans has no windows, and so no hits; repeated rows and rows that share a
+Items of fewer than ``SPAN`` words are sought whole: at each document position, as many
+words as such an item has are hashed (for each length that occurs in the benchmark).
+Even an item of one word is found wherever that word stands.
+
+Defined cases: null or empty texts have no words, and so no hits; a null item_id is
+reported as null, and items that share an item_id are sought each; repeated rows and rows that share a
 doc_id are judged by any of their texts; a null doc_id is reported as null; ties of
 diagonals go to the higher score, then the lower diagonal; other columns are ignored.
 """
@@ -43,16 +47,16 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def windows(df: DataFrame, keep: list[str]) -> DataFrame:
+def windows(df: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
     """A row (*keep, at, seed) for each window and mask of ``df`` (*keep, h)."""
-    starts = df.filter(F.size("h") >= SPAN).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("at"))
+    least = min(map(len, masks))
+    starts = df.filter(F.size("h") >= least).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("at"))
 
-    def seed(m: int, mask: str) -> Column:
-        hashed = F.xxhash64(F.lit(m), *[F.get("h", F.col("at") + i) for i, x in enumerate(mask) if x == "1"])
-        return hashed if len(mask) <= SPAN else F.when(F.col("at") + len(mask) <= F.size("h"), hashed)
+    def seed(mask: str) -> Column:
+        hashed = F.xxhash64(F.lit(mask), *[F.get("h", F.col("at") + i) for i, x in enumerate(mask) if x == "1"])
+        return hashed if len(mask) == least else F.when(F.col("at") + len(mask) <= F.size("h"), hashed)
 
-    seeds = F.array(*[seed(m, mask) for m, mask in enumerate((*MASKS, LONG))])
-    return starts.select(*keep, "at", F.explode(seeds).alias("seed")).filter("seed is not null")
+    return starts.select(*keep, "at", F.explode(F.array(*map(seed, masks))).alias("seed")).filter("seed is not null")
 
 
 def stretch_score(doc: Column, item: Column, diagonal: Column) -> Column:
@@ -71,15 +75,21 @@ def stretch_score(doc: Column, item: Column, diagonal: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, score, diagonal: each pair of a document and an item found in it, once."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h"))
-    seeds = materialise(windows(items, ["item_id"]).distinct().withColumnRenamed("at", "item_at"), "seeds", 100 * benchmark.count())
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).withColumn("words", F.xxhash64("h"))
+    long = [*MASKS, LONG]
+    lengths = sorted(r[0] for r in items.select(F.size("h")).distinct().filter(F.size("h").between(1, SPAN - 1)).collect())
+    seeds = windows(items.filter(F.size("h") >= SPAN), ["item_id", "words"], long)
+    for n in lengths:
+        seeds = seeds.union(windows(items.filter(F.size("h") == n), ["item_id", "words"], ["1" * n]))
+    seeds = materialise(seeds.distinct().withColumnRenamed("at", "item_at"), "seeds", 100 * benchmark.count())
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
-    hits = windows(hashed, ["doc_id"]).join(seeds, "seed").select(F.col("doc_id").alias("hit_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    probes = windows(hashed, ["doc_id"], ["1" * n for n in lengths] + long)
+    hits = probes.join(seeds, "seed").select(F.col("doc_id").alias("hit_id"), F.col("item_id").alias("hit_item"), F.col("words").alias("hit_words"), (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = materialise(hits, "seed-hits", docs.count())
-    placed = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "item_id", "diagonal", word_hashes(F.col("text")).alias("doc_h"))
-    compared = placed.join(items, "item_id").filter((F.col("diagonal") + F.size("h") > 0) & (F.col("diagonal") < F.size("doc_h")))
+    placed = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "hit_item", "hit_words", "diagonal", word_hashes(F.col("text")).alias("doc_h"))
+    compared = placed.join(items, F.col("hit_item").eqNullSafe(F.col("item_id")) & (F.col("hit_words") == F.col("words"))).filter((F.col("diagonal") + F.size("h") > 0) & (F.col("diagonal") < F.size("doc_h")))
     scored = compared.select("doc_id", "item_id", "diagonal", F.size("h").alias("n"), stretch_score(F.col("doc_h"), F.col("h"), F.col("diagonal")).alias("s"))
     scored = scored.filter((F.col("s.score") >= least) | (F.col("s.equal") * 5 >= F.col("n") * 4)).select("doc_id", "item_id", "diagonal", "s.score")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("diagonal")).alias("back"))).alias("best"))

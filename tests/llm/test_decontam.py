@@ -109,6 +109,16 @@ def test_a_fifth_of_the_words_replaced_anywhere(spark, prose):
     assert all(got[k][0] >= decontam.LEAST for k in set(got) - wanted)
 
 
+def test_short_items_and_null_item_ids(spark, prose):
+    items = [(1, "Zebra"), (2, "quagga, okapi"), (3, "one quagga two okapi three zebu four ibex five"), (4, "OKAPI quagga"), (None, "gnu kudu eland"), (None, " ".join(f"n{i}" for i in range(12))), (5, " - "), (6, None)]
+    docs = [(i, f"{prose(30, i)} {text} {prose(30, 50 + i)}") for i, (_, text) in enumerate(items[:6])]
+    docs += [(10, "zebra"), (11, "gnu kudu"), (12, "Gnu kudu eland"), (13, "zebras quagga x okapi"), (None, "quagga okapi quagga")]
+    got, d, b = run(spark, docs, items)
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 4), (4, None), (5, None), (10, 1), (12, None), (None, 2), (None, 4)}
+    assert (got[4, None], got[5, None], got[None, 2], got[None, 4]) == ((3, 30), (12, 30), (2, 0), (2, 1))
+    assert {r["doc_id"] for r in decontam.decontaminate(d, b).collect()} == {11, 13}
+
+
 def test_empty_tables(spark, prose):
     docs, items = cases(prose)
     assert run(spark, [], items)[0] == {} and run(spark, docs, [])[0] == {}
