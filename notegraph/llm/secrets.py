@@ -1,7 +1,11 @@
 """Secret scan: fixed patterns plus a battery of randomness tests.
 
 Patterns (kinds ``assign``, ``access``, ``hex``) give the base spans.  The method adds
-spans of kind ``random``: each run of 20 or more token characters is a candidate; its
+spans of kind ``random``: each run of 20 or more token characters is split at ``=``
+(padding at the end of a run stays with its last part), and a part that mixes ``+`` or
+``/`` with ``-`` or ``_``, which no alphabet holds together, once at the former and once
+at the latter.  Each part of 20 or more characters is a candidate, also where two of them
+overlap (then both can be reported); its
 encoding is inferred (the smallest alphabet that holds it) and three tests ask whether
 it looks uniform over that alphabet: chi-squared of the symbol counts, runs above and
 below the middle, and lag-1 serial correlation.  A candidate that passes all three gets
@@ -17,6 +21,7 @@ spans; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -31,6 +36,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]+")
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+PART, NO_PATH, NO_WORD = re.compile(rb"[^=]+"), re.compile(rb"[^+/]+"), re.compile(rb"[^_-]+")
 LEAST = 20
 #: Lower ends of the length classes.
 LENGTHS = (20, 24, 32, 48, 64, 128)
@@ -93,6 +99,17 @@ def token_runs(data: np.ndarray) -> np.ndarray:
     return ends[ends[:, 1] - ends[:, 0] >= LEAST]
 
 
+def parts(raw: bytes, start: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, end with padding) of each candidate in a run, in order."""
+    found, bare = set(), start + len(raw[start:end].rstrip(b"="))
+    for m in PART.finditer(raw, start, end):
+        mixed = (b"+" in m[0] or b"/" in m[0]) and (b"-" in m[0] or b"_" in m[0])
+        for p in itertools.chain(*[split.finditer(raw, m.start(), m.end()) for split in (NO_PATH, NO_WORD)]) if mixed else (m,):
+            if p.end() - p.start() >= LEAST:
+                found.add((p.start(), p.end(), end if p.end() == bare else p.end()))
+    return sorted(found)
+
+
 def scan_text(raw: bytes) -> tuple[list[tuple], list[tuple]]:
     """Base spans (start, kind rank, end, kind) and candidates (start, end, length, p) in bytes."""
     runs = token_runs(np.frombuffer(raw, np.uint8))
@@ -104,14 +121,12 @@ def scan_text(raw: bytes) -> tuple[list[tuple], list[tuple]]:
         base += [(m.start(), 1, m.end(), KINDS[1]) for m in ACCESS.finditer(raw, start, end) if len(m[0]) >= 20]
         base += [(m.start(), 2, m.end(), KINDS[2]) for m in HEX.finditer(raw, start, end) if len(m[0]) >= 24]
     candidates, counts = [], None
-    for start, end in runs.tolist():
+    for start, bare, end in (x for run in runs.tolist() for x in parts(raw, *run)):
         if any(start < b[2] and b[0] < end for b in base):
             continue
-        token = raw[start:end].strip(b"=")
+        token = raw[start:bare]
         symbols = set(token)
-        kind = next((i for i, a in enumerate(_SETS) if symbols <= a), None)
-        if kind is None or len(token) < LEAST:
-            continue
+        kind = next(i for i, a in enumerate(_SETS) if symbols <= a)
         table = np.zeros(256, np.int64)
         table[np.frombuffer(ALPHABETS[kind], np.uint8)] = np.arange(len(ALPHABETS[kind]))
         x = table[np.frombuffer(token, np.uint8)]

@@ -54,6 +54,34 @@ def test_the_battery_tells_random_from_prose(spark, prose):
     assert hit >= 27 and wrong == 0, (hit, wrong)
 
 
+def test_parts_of_runs():
+    def texts_of(run):
+        raw = run.encode()
+        return [raw[s:e].decode() for s, _, e in secrets.parts(raw, 0, len(raw))]
+
+    a, b = "a" * 20, "b" * 21
+    assert texts_of(f"{a}={b}==") == [a, f"{b}=="] and texts_of(f"=={a}=x={b}") == [a, b]
+    assert texts_of(f"{a}/{b}+x") == [f"{a}/{b}+x"] and texts_of(f"{a}-{b}_x=") == [f"{a}-{b}_x="]
+    assert texts_of(f"/p/x_{a}=") == [f"x_{a}=", f"{a}="] and texts_of(f"{a}/-{b}") == [a, a + "/", "-" + b, b]
+    assert texts_of("a" * 19 + "=" * 5) == []
+
+
+def test_tokens_behind_names_and_paths(spark, prose):
+    forms = ["sessionid={}", "GITHUB_PAT=ghp_{}", "http://x.org/?a=b&sig={}", "AccountKey={}==", "http://x.org/download/auth_{}", "see/a-b/{}"]
+    rows, planted = [], {}
+    for i in range(300):
+        text = prose(80, i) + " colour=" + "".join(prose(6, 900 + i).split()) + " some/long-path/of_words/in/it "
+        if i % 5 == 0:
+            token = random_token(i, 44, string.ascii_letters + string.digits)
+            text += forms[i // 5 % 6].format(token)
+            planted[i] = token
+        rows.append((i, text + " " + prose(20, i)))
+    got = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for form in range(6):
+        assert sum(any(planted[i] in x for x in got[i]) for i in planted if i // 5 % 6 == form) >= 9, (form, got)
+    assert all(planted.get(i, " ") in x for i in got for x in got[i])
+
+
 def test_uniform_tests():
     import numpy as np
 
