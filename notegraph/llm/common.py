@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, keep, materialise
 
-__all__ = ["bound_batches", "bounded_sample", "held_out", "keep", "materialise", "table"]
+__all__ = ["bound_batches", "bounded_sample", "held_out", "identity", "keep", "materialise", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def identity(text: str = "text") -> list[Column]:
+    """Two longs, ``text_1`` and ``text_2``, that with the doc_id tell rows of different texts apart."""
+    return [F.xxhash64(text).alias("text_1"), F.xxhash64(F.lit("second"), text).alias("text_2")]
+
+
 def bounded_sample(df: DataFrame, by: str, per_class: int, key: str = "doc_id") -> DataFrame:
     """About ``per_class`` rows for each value of ``by``, chosen by a hash of ``key``.
 

@@ -22,7 +22,8 @@ Even an item of one word is found wherever that word stands.
 
 Defined cases: null or empty texts have no words, and so no hits; a null item_id is
 reported as null, and items that share an item_id are sought each; repeated rows and rows that share a
-doc_id are judged by any of their texts; a null doc_id is reported as null; ties of
+doc_id are reported once, by any of their texts, but only rows of a text in which an
+item was found are dropped; a null doc_id is reported as null; ties of
 diagonals go to the higher score, then the lower diagonal; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import identity, materialise
 
 #: Fixed masks: 1 is compared, 0 ignored.  Each pair of positions is ignored by one of them.
 MASKS = ("1100101100", "0010110110", "1011001010", "0110011001", "0101100011", "1001010101")
@@ -73,8 +74,8 @@ def stretch_score(doc: Column, item: Column, diagonal: Column) -> Column:
     return F.aggregate(equal, start, step, lambda acc: F.struct(acc["best"].alias("score"), acc["equal"].alias("equal")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, item_id, score, diagonal: each pair of a document and an item found in it, once."""
+def _scored(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
+    """doc_id, text_1, text_2, item_id, diagonal, score of each diagonal accepted."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).withColumn("words", F.xxhash64("h"))
     long = [*MASKS, LONG]
     lengths = sorted(r[0] for r in items.select(F.size("h")).distinct().filter(F.size("h").between(1, SPAN - 1)).collect())
@@ -84,19 +85,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     seeds = materialise(seeds.distinct().withColumnRenamed("at", "item_at"), "seeds", 100 * benchmark.count())
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
-    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
-    probes = windows(hashed, ["doc_id"], ["1" * n for n in lengths] + long)
-    hits = probes.join(seeds, "seed").select(F.col("doc_id").alias("hit_id"), F.col("item_id").alias("hit_item"), F.col("words").alias("hit_words"), (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    hashed = docs.select("doc_id", *identity(), word_hashes(F.col("text")).alias("h"))
+    probes = windows(hashed, ["doc_id", "text_1", "text_2"], ["1" * n for n in lengths] + long)
+    hits = probes.join(seeds, "seed").select(F.col("doc_id").alias("hit_id"), F.col("text_1").alias("hit_1"), F.col("text_2").alias("hit_2"), F.col("item_id").alias("hit_item"), F.col("words").alias("hit_words"), (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = materialise(hits, "seed-hits", docs.count())
-    placed = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "hit_item", "hit_words", "diagonal", word_hashes(F.col("text")).alias("doc_h"))
+    placed = docs.select("doc_id", "text", *identity()).join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_1") == F.col("hit_1")) & (F.col("text_2") == F.col("hit_2"))).select("doc_id", "text_1", "text_2", "hit_item", "hit_words", "diagonal", word_hashes(F.col("text")).alias("doc_h"))
     compared = placed.join(items, F.col("hit_item").eqNullSafe(F.col("item_id")) & (F.col("hit_words") == F.col("words"))).filter((F.col("diagonal") + F.size("h") > 0) & (F.col("diagonal") < F.size("doc_h")))
-    scored = compared.select("doc_id", "item_id", "diagonal", F.size("h").alias("n"), stretch_score(F.col("doc_h"), F.col("h"), F.col("diagonal")).alias("s"))
-    scored = scored.filter((F.col("s.score") >= least) | (F.col("s.equal") * 5 >= F.col("n") * 4)).select("doc_id", "item_id", "diagonal", "s.score")
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("diagonal")).alias("back"))).alias("best"))
+    scored = compared.select("doc_id", "text_1", "text_2", "item_id", "diagonal", F.size("h").alias("n"), stretch_score(F.col("doc_h"), F.col("h"), F.col("diagonal")).alias("s"))
+    return scored.filter((F.col("s.score") >= least) | (F.col("s.equal") * 5 >= F.col("n") * 4)).select("doc_id", "text_1", "text_2", "item_id", "diagonal", "s.score")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, item_id, score, diagonal: each pair of a document and an item found in it, once."""
+    best = _scored(docs, benchmark, least).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("diagonal")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("diagonal"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found."""
-    found = materialise(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("found_id")).distinct(), "contaminated", docs.count())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+    found = _scored(docs, benchmark, least).select(F.col("doc_id").alias("found_id"), F.col("text_1").alias("found_1"), F.col("text_2").alias("found_2")).distinct()
+    found = materialise(found, "contaminated", docs.count())
+    same = docs["doc_id"].eqNullSafe(found["found_id"]) & (F.xxhash64(docs["text"]) == found["found_1"]) & (F.xxhash64(F.lit("second"), docs["text"]) == found["found_2"])
+    return docs.join(found, same, "left_anti")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, keep, materialise
+from .common import bound_batches, identity, keep, materialise
 from .components import components, forest
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -194,33 +194,43 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     return fps.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
+def _members(distinct: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``distinct`` (fp, ...), one for each fingerprint, with their component."""
+    found = fingerprint_components(distinct).withColumnRenamed("fp", "member_fp")
+    return materialise(distinct.join(found, F.col("fp") == F.col("member_fp")).drop("member_fp"), "simhash-components", rows)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text)."""
     bound_batches(docs.sparkSession)
     prints = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column().alias("fp")))
     n = prints.count()
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", n)
-    members = fingerprint_components(distinct).join(distinct.withColumnRenamed("fp", "own_fp"), F.col("fp") == F.col("own_fp")).select("fp", "component", "least")
-    members = materialise(members, "simhash-components", n)
+    members = _members(materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", n), n)
     ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = members.join(ids, "component").select(F.col("fp").alias("own_fp"), "component_id")
     return prints.join(by_fp, F.col("fp") == F.col("own_fp"), "left").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's least.
+    """One row of ``docs`` for each component: the one with the least doc_id.
 
-    Of rows that share a doc_id one stays: the one whose text has the least XXH64, then
-    the least in all columns.
+    A null doc_id comes after all others; of rows that share the doc_id, the one whose
+    text has the least XXH64, then the least in all columns.
     """
-    found = materialise(near_duplicates(docs), "simhash-classes", docs.count())
-    by_id = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("least"))
-    kept = materialise(by_id.filter("least").select("kept_id", "rows"), "simhash-kept", found.count())
+    bound_batches(docs.sparkSession)
+    prints = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(), fingerprint_column().alias("fp")))
+    n = prints.count()
+    texts = prints.groupBy("fp", "doc_id", "text_1", "text_2").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_1", "text_2", "rows")).alias("first")
+    members = _members(materialise(texts.groupBy("fp").agg(first), "simhash-distinct", n), n)
+    kept = members.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_1").alias("kept_1"), F.col("first.text_2").alias("kept_2"), "first.rows")
+    kept = materialise(kept, "simhash-kept", n)
     # The ids grow with the table, so they are hashed in parts and never broadcast; texts are not sorted.
-    chosen = lambda ids: docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    same = lambda ids: docs["doc_id"].eqNullSafe(ids["kept_id"]) & (F.xxhash64(docs["text"]) == ids["kept_1"]) & (F.xxhash64(F.lit("second"), docs["text"]) == ids["kept_2"])
+    chosen = lambda ids: docs.join(ids.hint("shuffle_hash"), same(ids), "left_semi")
     single, repeated = chosen(kept.filter("rows = 1")), kept.filter("rows > 1")
     if repeated.isEmpty():
         return single
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = chosen(repeated).select("doc_id", F.struct(F.xxhash64("text").alias("hash"), row.alias("row")).alias("r")).groupBy("doc_id").agg(F.min("r").alias("r"))
-    return single.unionByName(again.select("r.row.*"))
+    again = chosen(repeated).select("doc_id", *identity(), row.alias("r")).groupBy("doc_id", "text_1", "text_2").agg(F.min("r").alias("r"))
+    return single.unionByName(again.select("r.*"))

@@ -119,6 +119,15 @@ def test_short_items_and_null_item_ids(spark, prose):
     assert {r["doc_id"] for r in decontam.decontaminate(d, b).collect()} == {11, 13}
 
 
+def test_clean_rows_with_the_id_of_a_contaminated_one_stay(spark, prose):
+    item = " ".join(f"n{i}" for i in range(20))
+    docs = [(None, prose(40, 1)), (None, f"{prose(40, 2)} {item}"), (None, None), (4, item), (4, prose(40, 3)), (4, item)]
+    got, d, b = run(spark, docs, [(1, item)])
+    assert set(got) == {(None, 1), (4, 1)}
+    kept = [(r["doc_id"], r["text"]) for r in decontam.decontaminate(d, b).collect()]
+    assert sorted(kept, key=repr) == sorted([docs[0], docs[2], docs[4]], key=repr)
+
+
 def test_empty_tables(spark, prose):
     docs, items = cases(prose)
     assert run(spark, [], items)[0] == {} and run(spark, docs, [])[0] == {}

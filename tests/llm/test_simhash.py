@@ -159,6 +159,14 @@ def test_against_brute_force(spark, prose):
     assert sorted(ids, key=repr) == sorted({*least.values(), None}, key=repr)
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark, prose):
+    texts = {k: prose(60, 500 + i) for i, k in enumerate("abcdefg")}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["c"]), (None, texts["c"]), (3, texts["d"]), (7, texts["d"]), (7, texts["e"]), (7, texts["f"]), (7, texts["f"]), (None, texts["g"]), (9, texts["g"])]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], DOCS + ", n int").repartition(3)
+    wanted = [(None, texts["a"], 0), (None, texts["b"], 1), (None, texts["c"], 2), (3, texts["d"], 4), (7, texts["e"], 6), (7, texts["f"], 7), (9, texts["g"], 10)]
+    assert sorted(map(tuple, simhash.one_of_each(df).collect()), key=lambda r: r[2]) == wanted
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(df).collect() == [] and simhash.one_of_each(df).collect() == []
