@@ -12,9 +12,12 @@ ids u64.  Sequence of n ends below or equal to u: with l = max(0, floor(log2(u /
 the low l bits of each end, packed; then the high parts as a bit vector in which the
 i-th one stands at high(i) + i; then the place of every 64th one as u32.
 
-Defined cases: a null text is empty (one end id); rows that share a doc_id come one
-after the other, by a hash of their text, each with its own entry; a null doc_id comes
-first; an empty table gives no blocks; other columns are ignored.
+Defined cases: a null text is empty (one end id); a very long text is encoded whole, by
+one call that needs some times its bytes, and makes a block of its own; rows that share
+a doc_id come one after the other, by a hash of their text, each with its own entry (of
+equal rows either may be first); a null doc_id comes first; the string of an added token
+inside a text becomes that token, as the library has it; an empty table gives no blocks;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,8 +122,9 @@ class Encoder:
     The vocabulary's pre-tokenizer always cuts between a non-space character and a
     space, so the ids of a text are those of its pieces " word", one after the other.
     The distinct pieces of a batch are encoded together, told apart by the space that
-    starts each, and laid out for all texts by array operations.  First words, and
-    texts in which a space follows white space, go to the library as they are.
+    starts each, and laid out for all texts by array operations.  First words, texts in
+    which a space follows white space, and texts that hold an added token (such as an end
+    mark, which the library turns into its id) go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -128,12 +132,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.id_bytes = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.id_bytes}")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(size, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # a space, as the byte-level alphabet writes it
 
@@ -160,7 +164,9 @@ class Encoder:
         del split
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         heads = index[starts[:-1]]
-        odd = np.array([not w or w[-1].isspace() for w in words], bool)
+        odd = np.array([not w or w[-1].isspace() or any(t in w for t in self.added) for w in words], bool)
+        if any(" " in t for t in self.added):  # then words can't be told apart from such a token's parts
+            odd[:] = True
         text_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
         odd_text = np.zeros(n, bool)
         odd_text[text_of[odd[index]]] = True

@@ -35,7 +35,6 @@ def test_stages_and_run(spark, sf_dir, tmp_path):
     assert sorted(encoded) == sorted(mixed)
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     at = 0
     for r in kept[-1].orderBy("start").collect():
         own = np.array([*tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")

@@ -23,7 +23,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -54,6 +53,13 @@ def test_batches_give_the_ids_of_the_library(coder, library, texts):
     assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == [x for w in wanted for x in w]
 
 
+def test_strings_of_added_tokens(coder, library):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "plain words", "<|endoftext", ""]
+    ids, lengths = coder.encode(pa.array(texts), 0)
+    assert library(texts[0]) == [64, 220, 50256, 275]
+    assert ids.tolist() == [x for t in texts for x in [*library(t), 0]] and lengths.tolist() == [len(library(t)) + 1 for t in texts]
+
+
 def read(spark, rows, tmp_path, parts=3):
     df = spark.createDataFrame(rows, "doc_id long, text string, start string, data int").repartition(parts)
     return tokens.token_files(df, VOCABULARY, str(tmp_path / "out"))
