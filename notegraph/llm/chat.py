@@ -9,9 +9,10 @@ with its source; while the two differ, the text is escaped at the next level:
 0. verbatim, 1. backslashes doubled and each control string escaped once,
 2. every backslash, ``#`` and ``<`` escaped (always unambiguous).
 
-Defined cases: a null role or text counts as empty; turns are ordered by turn,
-then role and text (repeated rows all stay); a null conv_id is one conversation;
-an empty table gives no rows; other columns are ignored.
+Defined cases: a null role or text counts as empty; turns are ordered by turn (null
+last), ties by role and then text, both as UTF-8 bytes (repeated rows all stay); a very
+long text is rendered and read whole, like any other; a null conv_id is one
+conversation; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,11 +115,36 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInArrow(render, _TURNS)
 
 
-_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long"
+_READ = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("loss", pa.string()), ("masked", pa.bool_()), ("chars", pa.int64()), ("escaped", pa.bool_())])
+_READ_DDL = "conv_id long, turn long, role string, text string, loss string, masked boolean, chars long, escaped boolean"
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("escaped_turns", pa.int64())])
+_DIGEST_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long"
+
+
+def read_turns(turns: DataFrame) -> DataFrame:
+    """Role, text and loss of each rendered block, read from it alone.
+
+    ``masked`` says that the block has a loss mask; ``loss`` is the text under it where
+    that differs from the turn's text (null else, so that no text is carried twice).
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            conv, turn, *columns = (batch.column(n) for n in ("conv_id", "turn", "formatted", "escape_level", "loss_start", "loss_end"))
+            rows = []
+            for block, level, start, stop in zip(*(c.to_pylist() for c in columns)):
+                role, text, _, _, end = read_turn(block)
+                if end != len(block):
+                    raise ValueError("text after the end of a turn")
+                under = text if start is None else unescape(block[start:stop])
+                rows.append((role, text, None if under == text else under, start is not None, len(block), level > 0))
+            yield pa.RecordBatch.from_arrays([conv, turn, *(pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 6, list(_READ)[2:]))], schema=_READ)
+
+    return turns.mapInArrow(read, _READ_DDL)
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from the rendered blocks.
+    """Digests of each conversation, from what ``read_turns`` reads in the rendered blocks.
 
     A digest needs its conversation's turns in order, so they are dealt by
     conversation, sorted by Spark (which spills) and read as a stream: a task
@@ -130,14 +156,11 @@ def read_back(turns: DataFrame) -> DataFrame:
             self.conv, self.n, self.loss, self.chars, self.escaped = conv, 0, 0, 0, 0
             self.turns_hash, self.loss_hash = hashlib.sha256(), hashlib.sha256()
 
-        def add(self, block, level, start, stop):
-            role, text, _, _, end = read_turn(block)
-            if end != len(block):
-                raise ValueError("text after the end of a turn")
-            self.n, self.chars, self.escaped = self.n + 1, self.chars + len(block), self.escaped + (level > 0)
+        def add(self, role, text, loss, masked, chars, escaped):
+            self.n, self.chars, self.escaped = self.n + 1, self.chars + chars, self.escaped + escaped
             self.turns_hash.update(f"{role}\n{text}\n".encode())
-            if start is not None:
-                under = unescape(block[start:stop])
+            if masked:
+                under = text if loss is None else loss
                 self.loss += len(under)
                 self.loss_hash.update(under.encode())
 
@@ -145,22 +168,21 @@ def read_back(turns: DataFrame) -> DataFrame:
             return (self.conv, self.n, self.turns_hash.hexdigest(), self.loss, self.loss_hash.hexdigest(), self.chars, self.escaped)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("escaped_turns", pa.int64())])
-        to_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        to_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _DIGEST)], schema=_DIGEST)
         now = None
         for batch in batches:
             done = []
-            columns = [batch.column(n).to_pylist() for n in ("conv_id", "formatted", "escape_level", "loss_start", "loss_end")]
-            for conv, block, level, start, stop in zip(*columns):
+            columns = [batch.column(n).to_pylist() for n in ("conv_id", "role", "text", "loss", "masked", "chars", "escaped")]
+            for conv, *turn in zip(*columns):
                 if now is None or now.conv != conv:
                     if now is not None:
                         done.append(now.row())
                     now = Digest(conv)
-                now.add(block, level, start, stop)
+                now.add(*turn)
             if done:
                 yield to_batch(done)
         if now is not None:
             yield to_batch([now.row()])
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInArrow(fold, _DIGEST)
+    order = ("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
+    return read_turns(turns).repartition("conv_id").sortWithinPartitions(*order).mapInArrow(fold, _DIGEST_DDL)

@@ -49,6 +49,21 @@ def test_digests_against_the_source(spark, prose):
         assert got[conv]["formatted_chars"] == sum(len(chat.render_turn(r, x)[0]) for _, r, x in mine)
 
 
+def test_unlike_texts_on_one_turn_and_null_turns(spark):
+    rows = [(1, 0, "user", t) for t in ("### x", "Z", "\\#", "", "</turn>", "a", "é", "###")] + [(1, 0, "assistant", "z"), (1, 0, "user", "Z"), (1, None, "user", "no turn"), (1, None, "assistant", "### none"), (1, 5, "a#b", "t"), (1, 5, "a", "u"), (2, None, None, None)]
+    got = digests(spark, rows)
+    db = duckdb.connect()
+    db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    wanted = db.execute(queries.ORACLE_SQL["op1_chat_format"])
+    names = [d[0] for d in wanted.description]
+    assert sorted(tuple(r[n] for n in names) for r in got.values()) == sorted(r for r in wanted.fetchall() if r[0] != -7)
+    for conv in (1, 2):
+        mine = sorted((t is None, t, (r or "").encode(), (x or "").encode()) for c, t, r, x in rows if c == conv)
+        assert got[conv]["turns_sha256"] == hashlib.sha256(b"".join(r + b"\n" + x + b"\n" for _, _, r, x in mine)).hexdigest()
+        assert got[conv]["loss_sha256"] == hashlib.sha256(b"".join(x for _, _, r, x in mine if r == b"assistant")).hexdigest()
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], ROWS + ", formatted int, loss_start string")
     assert chat.read_back(chat.format_turns(df)).collect() == []
