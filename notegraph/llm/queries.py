@@ -130,4 +130,38 @@ SELECT doc_id, source, n_tokens, block, md5(concat_ws(':', 'mix', block, coalesc
 FROM (SELECT doc_id, source, n_tokens, CAST(unnest(range(n)) AS BIGINT) AS block FROM taken)
 """
 
-ORACLE_SQL = {"op1_chat_format": _OP1, "op2_exact_dedup": _OP2, "op9_mixing": _OP9}
+_OP10 = r"""
+WITH masks AS MATERIALIZED (
+  SELECT mask, length(mask) AS span, list_filter(range(length(mask)), lambda p: mask[p + 1] = '1') AS places
+  FROM (VALUES %s) AS m(mask)
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), i AS MATERIALIZED (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark
+), item_seeds AS (
+  SELECT q, spot, mask, array_to_string(list_transform(places, lambda p: w[spot + p + 1]), ' ') AS seed
+  FROM (SELECT q, w, mask, places, unnest(range(len(w) - span + 1)) AS spot FROM i JOIN masks ON CASE WHEN len(w) >= %d THEN span >= %d ELSE span = len(w) END)
+), doc_seeds AS (
+  SELECT r, spot, mask, array_to_string(list_transform(places, lambda p: w[spot + p + 1]), ' ') AS seed
+  FROM (SELECT r, w, mask, places, unnest(range(len(w) - span + 1)) AS spot FROM d JOIN masks ON len(w) >= span AND mask IN (SELECT mask FROM item_seeds))
+), hits AS (
+  SELECT DISTINCT r, q, s.spot - t.spot AS g FROM doc_seeds s JOIN item_seeds t ON s.mask = t.mask AND s.seed = t.seed
+), compared AS (
+  SELECT r, q, g, k, n, x = y AS alike FROM (
+    SELECT r, q, g, k, n, d.w[g + k + 1] AS x, i.w[k + 1] AS y
+    FROM (SELECT h.r, h.q, g, len(i.w) AS n, unnest(range(len(i.w))) AS k FROM hits h JOIN i ON h.q = i.q) JOIN d USING (r) JOIN i USING (q)
+    WHERE g + k >= 0 AND g + k < len(d.w))
+), summed AS (
+  SELECT *, sum(CASE WHEN alike THEN 1 ELSE -2 END) OVER (PARTITION BY r, q, g ORDER BY k) AS upto FROM compared
+), stretches AS (
+  SELECT *, upto - least(0, min(upto) OVER (PARTITION BY r, q, g ORDER BY k)) AS stretch FROM summed
+), scored AS (
+  SELECT r, q, g, n, CAST(max(stretch) AS INTEGER) AS score, count(*) FILTER (WHERE alike) AS equal FROM stretches GROUP BY r, q, g, n
+), ranked AS (
+  SELECT doc_id, item_id, score, CAST(g AS INTEGER) AS diagonal, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, g) AS nth
+  FROM scored JOIN d USING (r) JOIN i USING (q) WHERE score >= %d OR equal * 5 >= n * 4
+)
+SELECT doc_id, item_id, score, diagonal FROM ranked WHERE nth = 1
+""" % (", ".join(f"('{m}')" for m in (*decontam.MASKS, decontam.LONG, *["1" * n for n in range(1, decontam.SPAN)])), decontam.SPAN, decontam.SPAN, decontam.LEAST)
+
+ORACLE_SQL = {"op1_chat_format": _OP1, "op2_exact_dedup": _OP2, "op9_mixing": _OP9, "op10_decontamination": _OP10}

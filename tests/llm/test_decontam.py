@@ -1,6 +1,10 @@
 import itertools
 import random
 import re
+import time
+
+import duckdb
+import numpy as np
 
 from notegraph.llm import decontam, queries
 
@@ -128,6 +132,52 @@ def test_clean_rows_with_the_id_of_a_contaminated_one_stay(spark, prose):
     assert sorted(kept, key=repr) == sorted([docs[0], docs[2], docs[4]], key=repr)
 
 
+def every_diagonal(docs, items):
+    """(doc, item): (score, diagonal) by comparing all words along all diagonals, with numpy."""
+    out = {}
+    for doc, text in docs:
+        for item, item_text in items:
+            d, b = np.array(words(text)), np.array(words(item_text))
+            best = None
+            for g in range(1 - len(b), len(d)):
+                first, last = max(0, -g), min(len(b), len(d) - g)
+                alike = d[first + g : last + g] == b[first:last]
+                upto = np.concatenate(([0], np.cumsum(np.where(alike, 1, -2))))
+                score = int((upto - np.minimum.accumulate(upto)).max())
+                if score >= decontam.LEAST or 5 * int(alike.sum()) >= 4 * len(b):
+                    best = max(best or (0, 0), (score, -g))
+            if best:
+                out[doc, item] = (best[0], -best[1])
+    return out
+
+
+def test_long_texts_of_repeated_words(spark):
+    """Diagonals cost an item's length each, not a text's; ties go to the lowest diagonal, also across pieces."""
+    items = [(1, "ha " * 20), (2, "ha ho " * 15), (3, " ".join(["x"] * 9 + ["y"] * 70)), (4, "ha " * 4)]
+    docs = [(1, "ha " * 3000), (2, "ho ha " * 700), (3, "z " + "y " * 500 + "x " * 500), (4, "x " * 70 + "y " * 69), (5, "ho " * 1000)]
+    assert run(spark, docs, items)[0] == every_diagonal(docs, items)
+    started = time.time()
+    got = run(spark, [(9, "ha " * 100_000)], [(1, "ha " * 20)])[0]
+    assert got == {(9, 1): (20, 0)} and time.time() - started < 90
+
+
+def test_sql(spark, prose, sf_dir):
+    docs, items = cases(prose)
+    docs, items = docs + [(None, items[4][1] + " tail"), (200, "one"), (201, "ha " * 60)], items + [(None, "one"), (93, "ha " * 12)]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.execute("create table benchmark (item_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", docs)
+    db.executemany("insert into benchmark values (?, ?)", items)
+    assert {(a, b): (c, g) for a, b, c, g in db.execute(queries.ORACLE_SQL["op10_decontamination"]).fetchall()} == run(spark, docs, items)[0]
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    wanted = db.execute(queries.ORACLE_SQL["op10_decontamination"])
+    assert [x[0] for x in wanted.description] == ["doc_id", "item_id", "score", "diagonal"]
+    assert sorted(map(tuple, queries.op10_decontamination(spark, sf_dir).select("doc_id", "item_id", "score", "diagonal").collect())) == sorted(wanted.fetchall())
+
+
 def test_empty_tables(spark, prose):
     docs, items = cases(prose)
     assert run(spark, [], items)[0] == {} and run(spark, docs, [])[0] == {}
