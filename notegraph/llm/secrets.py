@@ -5,18 +5,25 @@ spans of kind ``random``: each run of 20 or more token characters is split at ``
 (padding at the end of a run stays with its last part), and a part that mixes ``+`` or
 ``/`` with ``-`` or ``_``, which no alphabet holds together, once at the former and once
 at the latter.  Each part of 20 or more characters is a candidate, also where two of them
-overlap (then both can be reported); its
-encoding is inferred (the smallest alphabet that holds it) and three tests ask whether
-it looks uniform over that alphabet: chi-squared of the symbol counts, runs above and
-below the middle, and lag-1 serial correlation.  A candidate that passes all three gets
-a p-value against ordinary text: the tail of its log likelihood ratio (uniform against
-the characters of its own document, with a fixed prior) for its length.  In each length
-class a Benjamini-Hochberg bound over *all* candidates of the table then controls the
-share of false finds; the bound comes from a histogram of fixed size.
+overlap (then both can be reported).  A part with ``/`` has two readings, as it is and
+cut at ``/`` like a path; the likelier one counts, and pays for the choice by twice its p.
+
+A candidate's encoding is inferred (the smallest alphabet that holds it) and a battery of
+three tests asks whether it looks uniform over that alphabet: chi-squared of the symbol
+counts, runs above and below the middle, and lag-1 serial correlation; Fisher's method
+combines their p-values.  Against ordinary text stands the tail of the log likelihood
+ratio for its length: uniform against the characters of its own document, with a fixed
+prior and a share of stray characters that are alike.  The p-value of a candidate is that tail divided by the battery's p-value, 1 at
+most: never less than the tail, so still valid for ordinary text, near it for random
+strings, and 1 for what is neither.  In each length class a Benjamini-Hochberg bound on
+these p-values over *all* candidates of the table then controls the share of false finds;
+the bound comes from a histogram of fixed size.
 
 Offsets are code points, ends exclusive.  Defined cases: a null text is empty and has
-no spans; candidates that touch a base span are left out; repeated rows get the same
-spans; an empty table gives no rows; other columns are ignored.
+no spans; a very long text is scanned whole, in time linear in its length; candidates
+that touch a base span are left out; spans that start together go by kind and then end;
+candidates with one p-value are all found or none; repeated rows get the same spans (and
+each counts as a candidate); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +43,13 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]+")
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-PART, NO_PATH, NO_WORD = re.compile(rb"[^=]+"), re.compile(rb"[^+/]+"), re.compile(rb"[^_-]+")
+PART, NO_PATH, NO_WORD, STEP = re.compile(rb"[^=]+"), re.compile(rb"[^+/]+"), re.compile(rb"[^_-]+"), re.compile(rb"[^/]+")
 LEAST = 20
 #: Lower ends of the length classes.
 LENGTHS = (20, 24, 32, 48, 64, 128)
-UNIFORM_ALPHA, FALSE_DISCOVERY = 0.003, 0.001
+FALSE_DISCOVERY = 0.001
+#: Share of an ordinary string's characters that may be any: no rare one (a dash, a capital) alone speaks for chance.
+STRAY = 0.3
 
 _LETTERS = b"etaoinsrhldcumfpgwybvkxjqz"  # fixed: letters of European prose, most frequent first
 _DIGITS, _LOWER, _UPPER = b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,11 +88,17 @@ def uniform_tests(x: np.ndarray, size: int) -> tuple[float, float, float]:
     return tail(chi), p_runs, p_serial
 
 
+def battery(x: np.ndarray, size: int) -> float:
+    """The tests' p-values combined by Fisher's method: the tail of chi-squared with 6 degrees of freedom."""
+    half = -sum(math.log(max(p, 1e-300)) for p in uniform_tests(x, size))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
 def prose_p(x: np.ndarray, alphabet: bytes, text_counts: np.ndarray) -> float:
     """Tail of the log likelihood ratio, uniform against text, under text."""
     at = np.frombuffer(alphabet, np.uint8)
     q = text_counts[at] + 200 * _PRIOR[at] / _PRIOR.sum()
-    q = q / q.sum()
+    q = (1 - STRAY) * q / q.sum() + STRAY / len(at)
     ratio = -np.log(len(at) * q)
     mean = float((q * ratio).sum())
     var = float((q * ratio**2).sum()) - mean**2
@@ -124,23 +139,31 @@ def scan_text(raw: bytes) -> tuple[list[tuple], list[tuple]]:
     for start, bare, end in (x for run in runs.tolist() for x in parts(raw, *run)):
         if any(start < b[2] and b[0] < end for b in base):
             continue
-        token = raw[start:bare]
-        symbols = set(token)
-        kind = next(i for i, a in enumerate(_SETS) if symbols <= a)
-        table = np.zeros(256, np.int64)
-        table[np.frombuffer(ALPHABETS[kind], np.uint8)] = np.arange(len(ALPHABETS[kind]))
-        x = table[np.frombuffer(token, np.uint8)]
-        p = 1.0
-        if min(uniform_tests(x, len(ALPHABETS[kind]))) * 3 >= UNIFORM_ALPHA:
-            if counts is None:
-                counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256).astype(float)
-                for s, e in runs.tolist():
-                    counts -= np.bincount(np.frombuffer(raw[s:e], np.uint8), minlength=256)
-            p = prose_p(x, ALPHABETS[kind], counts)
-        candidates.append((start, end, len(token), p))
+        if counts is None:
+            counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256).astype(float)
+            for s, e in runs.tolist():
+                counts -= np.bincount(np.frombuffer(raw[s:e], np.uint8), minlength=256)
+        whole = (start, end, bare - start, random_p(raw[start:bare], counts))
+        steps = [m.span() for m in STEP.finditer(raw, start, bare) if m.end() - m.start() >= LEAST] if b"/" in raw[start:bare] else []
+        if not steps:
+            candidates.append(whole)
+            continue
+        cut = [(s, end if e == bare else e, e - s, random_p(raw[s:e], counts)) for s, e in steps]
+        chosen = [whole] if whole[3] <= min(c[3] for c in cut) else cut
+        candidates += [(s, e, n, min(1.0, 2 * p)) for s, e, n, p in chosen]
     return base, candidates
 
 
+def random_p(token: bytes, text_counts: np.ndarray) -> float:
+    """The candidate's p-value against ordinary text, no less where the battery speaks against chance."""
+    symbols = set(token)
+    kind = next(i for i, a in enumerate(_SETS) if symbols <= a)
+    table = np.zeros(256, np.int64)
+    table[np.frombuffer(ALPHABETS[kind], np.uint8)] = np.arange(len(ALPHABETS[kind]))
+    x = table[np.frombuffer(token, np.uint8)]
+    return min(1.0, prose_p(x, ALPHABETS[kind], text_counts) / max(battery(x, len(ALPHABETS[kind])), 1e-300))
+
+
 _SPAN = "struct<start: bigint, rank: int, end: bigint, kind: string>"
 _FOUND = pa.struct([("base", pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string())]))), ("tried", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length_class", pa.int32()), ("tenths", pa.int32())])))])
 

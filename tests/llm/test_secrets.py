@@ -92,6 +92,35 @@ def test_uniform_tests():
         assert min(secrets.uniform_tests(bad, 64)) < 0.001
 
 
+def test_strings_that_are_neither_text_nor_chance(spark, prose):
+    """Long prose-like names, patterns and rules have no small p-value; random strings of many lengths do."""
+    plain = ["getElementByIdAndReturnTheResultOfAll", "AbstractSingletonProxyFactoryBean", "THISISALLUPPERCASETEXTANDNOSECRET", "usr/local/share/python/site/packages", "this_is_a_long_name_of_some_thing_2", "2024-01-01-12-30-59-backup-file-01", "A" * 40, "-" * 30, "_" * 40, "xo_" * 12, string.ascii_lowercase, string.ascii_uppercase + string.digits, "com/en/articles/2024/12/31/the-title-of-it"]
+    for x in plain:
+        assert all(p > 0.01 for *_, p in secrets.scan_text(f"{prose(300)} {x} {prose(300, 1)}".encode())[1]), x
+    for seed in range(40):
+        token = random_token(seed, 24 + seed, string.ascii_letters + string.digits)
+        for form in ("{}", "org/files/list/of/things/{}", "files/{}/get"):
+            text = f"{prose(300, seed)} {form.format(token)} {prose(300, 1)}"
+            found = secrets.scan_text(text.encode())[1]
+            assert any(p < 1e-4 and token in text[s:e] for s, e, _, p in found), (form, token, found)
+
+
+def test_the_battery_counts_in_the_p_value():
+    r = random.Random(4)
+    counts = secrets._PRIOR * 100
+    letters = string.ascii_letters + string.digits
+    for _ in range(20):
+        token = "".join(r.choice(letters) for _ in range(40))
+        ordered = "".join(sorted(token))  # the same symbols, so the same likelihood ratio; not their order
+        assert secrets.random_p(token.encode(), counts) < 1e-3 and secrets.random_p(ordered.encode(), counts) > 0.5
+
+
+def test_clashing_columns_of_a_full_table(spark, prose):
+    rows = [(1, f"{prose(50)} password=hunter22", 7, "x", 1), (1, f"{prose(50)} password=hunter22", 7, "x", 1), (None, None, 7, "x", 1)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, base int, spans string, tried int")).collect()
+    assert sorted(((r["doc_id"], len(r["base"])) for r in got), key=repr) == [(1, 1), (1, 1), (None, 0)]
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string, base int, spans string")).collect() == []
 
