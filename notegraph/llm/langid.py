@@ -4,15 +4,19 @@ Each language gets a codeword; for each bit a binary classifier on hashed byte
 trigrams (naive Bayes: log odds of the languages with a 1 against those with a 0,
 each language weighing the same) predicts it.  Decoding takes the codeword with the
 least loss, sum over bits of weight x log(1 + exp(-bit x margin)), where a bit's
-weight is its accuracy on the training languages' own profiles.  A second codeword
-with nearly the same loss makes the answer ambiguous.
+weight is the log odds of its being right, measured on labelled rows that did not enter
+the profiles (each language weighing the same).  A second codeword with nearly the same
+loss makes the answer ambiguous.
 
 The classifier is fitted on at most about ``per_language`` rows of each language,
-chosen by a hash of the id (a documented bound); prediction reads whole texts.
-
-Defined cases: a null, empty or letterless text is ``und`` with score 0; without
-training rows every text is ``und``; null labels are never learned; other columns
-are ignored.
+chosen by a hash of the id (a documented bound), of which three quarters make the
+profiles and the rest the weights; prediction reads whole texts.
+
+Defined cases: a null, empty or letterless text is ``und`` with score 0; a very long text
+is summed piece by piece; of codewords with equal loss the first language by name is
+taken, and the answer is ambiguous; without training rows every text is ``und``; null
+labels are never learned; repeated rows are learned as often as they stand and judged
+alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, bounded_sample
 
 FEATURES = 1 << 16
+#: Of the sample, one part weighs the bits, the others make the profiles.
+PARTS = 4
 #: Bytes handled at once; longer texts are summed piece by piece, with an overlap of two bytes.
 PIECE = 1 << 20
 
@@ -82,8 +88,15 @@ class LanguageModel:
         ones, zeros = self.code > 0, self.code <= 0
         mean = lambda pick: np.stack([profile[pick[:, b]].mean(0) if pick[:, b].any() else np.full(counts.shape[1], 1 / counts.shape[1]) for b in range(self.code.shape[1])])
         self.weights = (np.log(mean(ones)) - np.log(mean(zeros))).T.astype(np.float32)
-        right = (np.sign(profile @ self.weights) == self.code).mean(0) if languages else np.ones(1)
-        self.bit_weights = np.maximum(right, 1e-3) / np.maximum(right, 1e-3).sum()
+        self.bit_weights = np.full(self.code.shape[1], 1 / self.code.shape[1])
+
+    def weigh(self, right: np.ndarray, seen: np.ndarray) -> None:
+        """Bit weights from right answers (languages x bits) on ``seen`` texts of each language outside the profiles."""
+        if seen.sum():
+            rate = ((right + 1) / (seen + 2)[:, None])[seen > 0].mean(0)
+            odds = np.log(rate / (1 - rate))
+            floor = 1e-3 * max(odds.max(), 1e-3)  # a bit that is wrong as often as right says nothing
+            self.bit_weights = np.maximum(odds, floor) / np.maximum(odds, floor).sum()
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         """Mean log odds of each bit for each text."""
@@ -92,7 +105,7 @@ class LanguageModel:
             if len(data) > 2:
                 ids = trigram_ids(data)
                 seen = np.bincount(ids) if len(ids) > 8 * FEATURES else None
-                total[row] += self.weights[ids].sum(0) if seen is None else seen @ self.weights[: len(seen)]
+                total[row] += self.weights[ids].sum(0, dtype=np.float64) if seen is None else seen @ self.weights[: len(seen)]
                 n[row] += len(ids)
         return total / np.maximum(n, 1)[:, None]
 
@@ -110,10 +123,11 @@ class LanguageModel:
 def fit(train: DataFrame, per_language: int = 3000) -> LanguageModel:
     """Fit on ``train`` (doc_id, text, lang).
 
-    The trigram counts are summed by Spark; at most languages x FEATURES sums reach the driver.
+    Trigram counts and right answers are summed by Spark; at most languages x FEATURES sums reach the driver.
     """
     bound_batches(train.sparkSession)
     rows = bounded_sample(train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", per_language)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -127,14 +141,34 @@ def fit(train: DataFrame, per_language: int = 3000) -> LanguageModel:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "feature", "n"])
 
-    sums = rows.select(F.col("lang"), F.col("text")).mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    sums = rows.filter(part < PARTS - 1).select("lang", "text").mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     got = sums.toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(languages), FEATURES))
     if languages:
         index = {x: i for i, x in enumerate(languages)}
         counts[[index[x] for x in got.column("lang").to_pylist()], got.column("feature").to_numpy()] = got.column("n").to_numpy()
-    return LanguageModel(languages, counts)
+    model = LanguageModel(languages, counts)
+    if len(languages) < 2:
+        return model
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, right, seen = shared.value, np.zeros(shared.value.code.shape, np.int64), np.zeros(len(languages), np.int64)
+        for batch in batches:
+            at = np.array([index.get(x, -1) for x in batch.column(0).to_pylist()])
+            hits = (np.sign(m.margins(batch.column(1))) == m.code[at])[at >= 0]
+            np.add.at(right, at[at >= 0], hits)
+            np.add.at(seen, at[at >= 0], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array(seen), pa.array(right.tolist(), pa.list_(pa.int64()))], ["language", "seen", "right"])
+
+    judged = rows.filter(part == PARTS - 1).select("lang", "text").mapInArrow(judge, "language int, seen long, right array<long>")
+    summed = judged.select("language", "seen", F.posexplode("right").alias("bit", "n")).groupBy("language", "bit").agg(F.sum("seen").alias("seen"), F.sum("n").alias("n")).collect()
+    right, seen = np.zeros(model.code.shape), np.zeros(len(languages))
+    for r in summed:
+        right[r["language"], r["bit"]], seen[r["language"]] = r["n"], r["seen"]
+    model.weigh(right, seen)
+    return model
 
 
 def predict(model: LanguageModel, docs: DataFrame, text: str = "text") -> Column:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -57,6 +59,44 @@ def test_empty_tables(spark, model):
     assert alone.languages == ["en"] and docs.select(langid.predict(alone, docs).alias("p")).first()["p"]["lang_pred"] == "en"
 
 
+def brute_predict(model, text):
+    """Trigram by trigram and bit by bit, in plain Python."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    data = [b | 32 if 65 <= (b & ~32) <= 90 and b < 128 else 32 if b < 128 else b for b in f" {text} ".encode()]
+    total, n = [0.0] * model.code.shape[1], len(data) - 2
+    for x, y, z in zip(data, data[1:], data[2:]):
+        mixed = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) & 0xFFFFFFFF
+        feature = ((mixed ^ mixed >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16
+        for b in range(len(total)):
+            total[b] += float(model.weights[feature][b])
+    losses = []
+    for word in model.code:
+        losses.append(len(total) * sum(w * math.log1p(math.exp(-model.gain * c * t / n)) for w, c, t in zip(model.bit_weights, word, total)))
+    likely = [math.exp(min(losses) - x) for x in losses]
+    return model.languages[losses.index(min(losses))], max(likely) / sum(likely)
+
+
+def test_prediction_against_brute_force(spark, sf_dir, model):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("length(text) < 3000")
+    got = {r["doc_id"]: (r["text"], r["p"]) for r in docs.select("doc_id", "text", langid.predict(model, docs).alias("p")).collect()}
+    for text, p in got.values():
+        lang, score = brute_predict(model, text)
+        assert p["lang_pred"] == lang and abs(p["score"] - score) < 1e-6
+
+
+def test_bit_weights_are_measured_outside_the_profiles(spark, prose):
+    """A bit that fails on new texts loses weight; the profiles themselves would not show it."""
+    model = langid.LanguageModel(list("abcd"), np.random.default_rng(0).integers(0, 50, (4, langid.FEATURES)))
+    seen, right = np.array([100, 100, 100, 0]), np.full((4, 7), 99)
+    right[:, 2], right[:, 5], right[3] = 50, 75, 0
+    model.weigh(right, seen)
+    w = model.bit_weights
+    assert w.sum() == pytest.approx(1) and w[2] < 0.01 * w[0] and w[2] < w[5] < w[0] == w[1]
+    fitted = langid.fit(spark.createDataFrame([(i, prose(30, i) if i % 2 else prose(30, i).upper()[::-1], "ab"[i % 2]) for i in range(80)], "doc_id long, text string, lang string"))
+    assert fitted.languages == ["a", "b"] and fitted.bit_weights.tolist() == [1.0]
+
+
 def test_held_out_accuracy(spark, sf_dir):
     got = queries.op4_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
