@@ -6,23 +6,31 @@ the bad dictionary - size with the good one) / size without any, beside its plai
 compression ratio (a text of repeats fits every dictionary alike); a logistic
 calibration on labelled texts that did not enter the dictionaries makes it a score.
 
-Both are fitted on at most about ``per_label`` labelled rows of each label, chosen by
-a hash of the id (a documented bound); every whole text is scored.
+Both are fitted on bounded samples, chosen by hashes (documented bounds): about
+``per_label`` labelled rows of each label, of which three fifths give at most
+``TRAIN_WINDOWS`` windows of ``WINDOW`` bytes for each dictionary and the rest at most
+``CALIBRATION_ROWS`` rows of features, measured in the tasks.  Only these windows and
+numbers reach the driver, also where texts are very long or ids repeat.  Every whole text
+is scored, window by window.
 
 Defined cases: a null text is empty, and an empty text gets the base rate of the
-calibration sample; with no labelled rows of one kind every score is 0.5; repeated
-rows are scored alike; other columns are ignored.
+calibration sample; a very long text is judged by the sums over its windows; with no
+labelled rows of one kind every score is 0.5; fewer than ``MIN_SAMPLES`` windows, or too
+little variety for the trainer, make a dictionary of their own bytes; of windows and rows
+with one hash any may be chosen; repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded_sample
+from .common import bound_batches, bounded_sample, materialise
 
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
@@ -31,6 +39,8 @@ WINDOW = 1 << 10
 #: Rows of the bounded sample that train dictionaries; the others calibrate.
 TRAIN_PARTS, PARTS = 3, 5
 MIN_SAMPLES = 8
+#: Windows that train a dictionary, and rows that calibrate: at most 6 MB and 100 KB on the driver.
+TRAIN_WINDOWS, CALIBRATION_ROWS = 6_000, 4_000
 
 
 def compressed_sizes(text: bytes, tools: list[zstandard.ZstdCompressor]) -> list[int]:
@@ -79,9 +89,8 @@ class QualityModel:
         """Standardised features, no further out than the sample's, with a constant."""
         return np.c_[np.ones(len(x)), np.clip((x - self.mean) / self.scale, -4, 4)]
 
-    def calibrate(self, texts: list[bytes | None], labels: list[int]) -> None:
-        """Logistic regression by Newton steps with a small ridge."""
-        x, y = self.features(texts, self.tools()), np.array(labels, float)
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Logistic regression of labels on features by Newton steps with a small ridge."""
         if not len(y):
             return
         self.base = float((y.sum() + 1) / (len(y) + 2))
@@ -100,17 +109,39 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityModel:
     """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label 0 or 1) mark.
 
-    The sample is drawn from the labels, before any text is read; its rows (about twice
-    ``per_label``, whatever the size of the tables) are broadcast, and their texts go to the driver.
+    The sample is drawn from the labels, before any text is read; its ids (about twice
+    ``per_label``, whatever the size of the tables) are broadcast.
     """
-    chosen = bounded_sample(labels.filter(F.col("label").isin(0, 1)), "label", per_label).select(F.col("doc_id").alias("chosen_id"), F.col("label").cast("int").alias("label"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label", part)
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["text"]), r["label"]))
-    model = QualityModel(*[[bytes(r["text"]) for r in rows if r["part"] < TRAIN_PARTS and r["label"] == k] for k in (1, 0)])
+    spark = docs.sparkSession
+    bound_batches(spark)
+    chosen = bounded_sample(labels.filter(F.col("label").isin(0, 1)), "label", per_label).select("doc_id", "label").distinct()
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")).orderBy(F.xxhash64("chosen_id", F.lit("row")), "label").limit(4 * per_label)
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label", "part")
+    sample = materialise(sample, "quality-sample", 4 * per_label)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                raw = text.as_py()
+                cut = [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
+                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array([label] * len(cut), pa.int32())], ["bytes", "label"])
+
+    cut = sample.filter(F.col("part") < TRAIN_PARTS).select("text", "label").mapInArrow(windows, "bytes binary, label int")
+    rank = F.xxhash64("bytes", F.lit("window"))
+    training = [sorted(bytes(r[0]) for r in cut.filter(F.col("label") == k).orderBy(rank, "bytes").limit(TRAIN_WINDOWS).select("bytes").collect()) for k in (1, 0)]
+    model = QualityModel(*training)
     if model.usable:
-        rest = [r for r in rows if r["part"] >= TRAIN_PARTS]
-        model.calibrate([bytes(r["text"]) for r in rest], [r["label"] for r in rest])
+        shared = spark.sparkContext.broadcast(model)
+
+        @F.arrow_udf("difference double, ratio double")
+        def features(texts: pa.Array) -> pa.Array:
+            m = shared.value
+            x = m.features(texts.to_pylist(), m.tools())
+            return pa.StructArray.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["difference", "ratio"])
+
+        rest = sample.filter(F.col("part") >= TRAIN_PARTS).select("label", F.xxhash64("text", F.lit("row")).alias("rank"), features.asNondeterministic()(F.col("text")).alias("x"))
+        rows = rest.select("rank", "label", "x.difference", "x.ratio").orderBy("rank", "label").limit(CALIBRATION_ROWS).collect()
+        model.calibrate(np.array([[r["difference"], r["ratio"]] for r in rows]).reshape(-1, 2), np.array([r["label"] for r in rows], float))
     return model
 
 

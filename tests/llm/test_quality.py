@@ -1,5 +1,8 @@
+import math
 import random
 
+import zstandard
+
 from notegraph.llm import quality, queries
 
 
@@ -40,6 +43,42 @@ def test_too_few_labels(spark, prose):
     assert all(0 <= r["s"] <= 1 for r in docs.select(quality.score(few, docs).alias("s")).collect())
 
 
+def brute_score(model, text):
+    """Window by window with a new compressor each, and the calibration written out."""
+    raw = (text or "").encode()
+    if not raw:
+        return model.base
+    size = lambda dictionary: sum(len((zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))).compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+    plain, good, bad = size(None), *map(size, model.dictionaries)
+    z = model.beta[0]
+    for k, x in enumerate(((bad - good) / plain, plain / len(raw))):
+        z += model.beta[k + 1] * max(-4, min(4, (x - model.mean[k]) / model.scale[k]))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_brute_force(spark, prose):
+    docs, labels = labelled(spark, prose)
+    model = quality.fit(docs, labels)
+    odd = docs.limit(60).union(spark.createDataFrame([(900, None), (901, ""), (902, "é" * 3000), (903, prose(3000))], docs.schema))
+    got = odd.select("text", quality.score(model, odd).alias("score")).collect()
+    assert all(abs(r["score"] - brute_score(model, r["text"])) < 0.02 for r in got), [(r["text"][:30], r["score"], brute_score(model, r["text"])) for r in got]
+
+
+def test_what_reaches_the_driver_is_bounded(spark, prose, monkeypatch):
+    """Long texts and repeated ids: at most so many windows and rows are gathered."""
+    monkeypatch.setattr(quality, "TRAIN_WINDOWS", 50)
+    monkeypatch.setattr(quality, "CALIBRATION_ROWS", 30)
+    gathered = []
+    train, calibrate = quality.QualityModel.train, quality.QualityModel.calibrate
+    monkeypatch.setattr(quality.QualityModel, "train", staticmethod(lambda samples: gathered.append(samples) or train(samples)))
+    monkeypatch.setattr(quality.QualityModel, "calibrate", lambda self, x, y: gathered.append(x) or calibrate(self, x, y))
+    docs, labels = labelled(spark, prose, 200)
+    many = docs.union(spark.createDataFrame([(i % 4, prose(5000, i)) for i in range(40)], docs.schema))
+    model = quality.fit(many, labels.union(labels))
+    assert [len(x) for x in gathered] == [50, 50, 30] and max(map(len, gathered[0] + gathered[1])) <= quality.WINDOW
+    assert model.usable
+
+
 def test_held_out_separation(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [(r["score"], labels[r["doc_id"]]) for r in queries.op6_quality(spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in labels]
