@@ -1,5 +1,10 @@
+import itertools
+import math
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from notegraph.llm import queries, urls
@@ -72,6 +77,56 @@ def test_mined_combinations_block(spark):
             assert (got[r["page_id"]] == "block") == any(set(x["antecedent"]) <= set(r["t"]) for x in every)
 
 
+def brute_rules(rows, support, confidence, deviation):
+    """{antecedent: confidence} over all sets of tokens, each token by itself."""
+    known = [(frozenset(t), bad) for t, bad in rows]
+    total, bads = len(known), sum(b for _, b in known)
+    base, found = bads / total, {}
+    every = {x for t, _ in known for x in t}
+    every = {x for x in every if support * total <= sum(x in t for t, _ in known) < total}
+    for size in range(1, 5):
+        for chosen in itertools.combinations(sorted(every), size):
+            n = sum(t.issuperset(chosen) for t, _ in known)
+            k = sum(b and t.issuperset(chosen) for t, b in known)
+            if n and k >= support * total and k / n >= confidence and k - n * base >= deviation * math.sqrt(n * base * (1 - base)):
+                found[frozenset(chosen)] = k / n
+    return found
+
+
+@pytest.mark.parametrize("noise", [0.05, 0.55])
+def test_rules_against_all_sets(spark, noise):
+    """Few bad URLs, and mostly bad ones; casino and bonus always stand together, as do the scheme and all."""
+    r = random.Random(6)
+    rows = []
+    for i in range(900):
+        tokens = [w for w, p in (("win", 0.3), ("fr", 0.4), ("shop", 0.2)) if r.random() < p] + (["casino/bonus"] if r.random() < 0.3 else [])
+        bad = ("casino/bonus" in tokens and "win" in tokens) or r.random() < noise
+        rows.append((f"http://x.org/{'/'.join(tokens)}/{i}", bad))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = {r["url"]: r["t"] for r in df.select("url", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    wanted = brute_rules([(tokens[u], b) for u, b in rows], 0.02, 0.6, 4.0)
+    index = urls.mine_rules(df, min_support=0.02)
+    pages = df.select(F.col("url"), F.monotonically_increasing_id().alias("page_id"))
+    extra = spark.createDataFrame([("http://y.net/win/bonus", -1), ("http://y.net/casino", -2), ("http://y.net/fr", -3)], "url string, page_id long")
+    tokens |= {r["url"]: r["t"] for r in extra.select("url", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    urls_of = {r["page_id"]: r["url"] for r in pages.union(extra.select(pages.columns)).collect()}
+    got = urls.judge(pages.union(extra.select(pages.columns)), rules(spark), index).collect()
+    assert wanted and len(got) == 903
+    for r in got:
+        best = max((c for a, c in wanted.items() if a <= set(tokens[urls_of[r["page_id"]]])), default=None)
+        assert (r["verdict"] == "block") == (best is not None) and (best is None or abs(r["confidence"] - best) < 1e-9), urls_of[r["page_id"]]
+
+
+def test_very_long_urls(spark):
+    """Time linear in the host: 100 KB of labels, of one label, of path."""
+    long = ["http://" + "a." * 50_000 + "com/en/", "http://" + "a" * 100_000 + ".com/en/", "http://x.com/en/" + "b/" * 50_000, "http://" + "." * 100_000 + "/en/"]
+    pages = spark.createDataFrame(list(enumerate(long * 20)), "page_id long, url string")
+    labelled = spark.createDataFrame([(u, i % 2 == 0) for i, u in enumerate(long * 5)], "url string, bad boolean")
+    started = time.time()
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules(spark), urls.mine_rules(labelled, 0.2)).collect()}
+    assert len(got) == 80 and [got[i] for i in range(3)] == ["block"] * 3 and time.time() - started < 60
+
+
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), rules(spark), mined(spark, [])).collect() == []
 
