@@ -12,9 +12,11 @@ Texts are equal when identical after deleting the six ASCII white-space characte
 
 A fingerprint that a third of all rows share is sent once by each block, and its
 texts are combined before the shuffle.  A block's fingerprints, codes and bitmap
-fit in a few MB; an owner holds 1/``owners`` of the distinct fingerprints of blocks.
+fit in a few MB; an owner holds 1/``owners`` of the distinct fingerprints of blocks,
+and there are as many owners as the rows need, so that its memory doesn't grow with them.
 
-Defined cases: a null text is empty; all white-space texts are equal; among equal
+Defined cases: a null text is empty; all white-space texts are equal; a very long text
+is hashed and compared whole; among equal
 texts the row with the most code points stays, then the smallest doc_id (null last),
 then the first read; repeated rows count as members, and exactly one row of a group
 is kept; an empty table gives no rows; other columns are ignored.
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialise
 
 BLOCK = 1 << 16
+#: Rows for each owner at most, so that an owner's fingerprints stay within some tens of MB.
+OWNER_ROWS = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -146,11 +150,12 @@ def _mark(owners: int):
 def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs`` (doc_id, text).
 
-    ``owners``: hash ranges of the exchange; the session's number of shuffle partitions if None.
+    ``owners``: hash ranges of the exchange; if None, one for each shuffle partition of the
+    session, or for each ``OWNER_ROWS`` rows if those are more.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sent = materialise(rows.mapInArrow(_send(owners), _SENT_DDL), "fingerprints")
     prints = sent.filter(F.col("owner").isNull())
