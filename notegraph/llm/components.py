@@ -34,18 +34,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], ["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge in ``edges`` (a, b; longs).
 
     ``component`` is the least node reachable.  Large-star links each node's larger
     neighbours to its least neighbour, small-star the smaller ones; both keep the
-    components, and the rounds end when nothing changes.  Each round is a written
+    components, and the rounds end when nothing changes, after about the logarithm of the
+    edges' number.  Each round is a written
     table in the shared folder.  A centre that many nodes hang on is never collected:
     its minimum is pre-aggregated, and the join back on it can be split by Spark.
     """
-    now = materialise(edges.select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), "edges", edges.count())
+    now = materialise(edges.select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
     state, n = None, now.count()
-    for _ in range(max_rounds):
+    while True:
         both = now.select("a", "b").union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -56,7 +57,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if summed == state:
             break
         state = summed
-    else:
-        raise RuntimeError("components did not settle")
     own = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)

@@ -14,8 +14,9 @@ range, so that no source is ever ordered in one task.  Only sums reach the drive
 
 Defined cases: a null source is a source of its own; a source without tokens has
 weight 0 and is left out; a document without tokens goes with each full block, and in
-the last one up to the cut; repeated rows are taken or left together; null texts
-have no tokens; an empty table gives no rows; other columns are ignored.
+the last one up to the cut; repeated rows are taken or left together, as are rows with one
+key; null texts have no tokens; a very long text counts as any other, and is left out of
+the last block where it doesn't fit, as are the documents after it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

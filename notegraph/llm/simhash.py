@@ -13,7 +13,8 @@ list, so work grows with the bucket and not with its square, and every bucket le
 at most one link for each member.  Equal fingerprints were merged before, so a group
 of copies is one entry however large it is.
 
-Defined cases: a null text is empty; a text without words has fingerprint 0, and is
+Defined cases: a null text is empty; a very long text is hashed whole, piece by piece; a
+text without words has fingerprint 0, and is
 linked like any other; one or two words are one shingle; repeated rows share a
 component; a null doc_id never is a component's least; other columns are ignored.
 """
