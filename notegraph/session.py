@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import NoteError
+
 _SHIPPED: set[str] = set()
 
 
@@ -34,10 +36,13 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder is made and kept for the session.
+    Only where that is unset and the session is local, as in tests, a temporary folder is
+    made and kept for the session; on a cluster the setting is needed.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("notegraph.sharedDir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoteError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="notegraph-shared-")
         spark.conf.set("notegraph.sharedDir", folder)
     return folder.rstrip("/")
@@ -72,11 +77,17 @@ def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     shuffle partitions; it never adds partitions.
     """
     path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _held(df.sparkSession).append(path)
     (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_KEPT: dict[str, list[DataFrame]] = {}
+#: What ``keep`` and ``materialise`` hold for each application, in order: DataFrames and paths.
+_HELD: dict[str, list[DataFrame | str]] = {}
+
+
+def _held(spark: SparkSession) -> list[DataFrame | str]:
+    return _HELD.setdefault(spark.sparkContext.applicationId, [])
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -86,14 +97,28 @@ def keep(df: DataFrame) -> DataFrame:
     shared folder, and parts that go with a lost executor are computed again from their
     input.  Where a lineage grows step by step, or must not be run twice, ``materialise``.
     """
-    _KEPT.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df.persist(StorageLevel.DISK_ONLY))
+    _held(df.sparkSession).append(df.persist(StorageLevel.DISK_ONLY))
     return df
 
 
-def clear(spark: SparkSession) -> None:
-    """Drop what ``keep`` and ``materialise`` hold; results not yet computed need the latter."""
-    for df in _KEPT.pop(spark.sparkContext.applicationId, []):
-        df.unpersist()
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def mark(spark: SparkSession) -> int:
+    """Now, for ``clear``."""
+    return len(_held(spark))
+
+
+def clear(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Drop what ``keep`` and ``materialise`` hold, if wanted only what came between two marks.
+
+    Results that are not yet computed need what they were built on.
+    """
+    held, context = _held(spark), spark.sparkContext
+    paths = [own_folder(spark)] if since == 0 and until is None else []
+    for x in held[since:until]:
+        if isinstance(x, DataFrame):
+            x.unpersist()
+        else:
+            paths.append(x)
+    for path in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    del held[since:until]
