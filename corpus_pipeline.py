@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from notegraph.llm import decontam, langid, mixing, simhash, tokens
 from notegraph.llm.common import held_out, materialise, table
+from notegraph.session import clear, mark
 
 #: A text whose nearest codeword is less likely than this is rejected, like one without letters.
 LEAST_SCORE = 0.5
@@ -55,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), mark(spark)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, begun, mark(spark) - 1)  # the stage's input and all it held; its output stays
     return docs
