@@ -9,7 +9,6 @@ block lists takes a short way that gives the same values.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 import yaml
@@ -180,40 +179,58 @@ _CELL = pa.struct([("type", pa.string()), ("disp", pa.string()), ("num", pa.floa
 NOTE_DDL = f"status string, body_length long, fields {FIELDS}"
 
 
-def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _parse(texts: pa.Array) -> pa.Array:
     """Columns are built from flat lists: one entry for each field, one for each list item."""
-    for texts in batches:
-        status, lengths, ends, keys = [], [], [0], []
-        kinds, texts_of, numbers, jsons, item_ends, is_list, item_kinds, item_texts = [], [], [], [], [0], [], [], []
-        for text in texts.to_pylist():
-            state, length, fields = read_note(text or "")
-            status.append(state)
-            lengths.append(length)
-            for key, value in fields.items():
-                keys.append(key)
-                kinds.append(type_name(value))
-                texts_of.append(display(value))
-                numbers.append(to_number(value))
-                jsons.append(to_json(value))
-                is_list.append(isinstance(value, list))
-                if is_list[-1]:
-                    item_kinds += map(type_name, value)
-                    item_texts += map(display, value)
-                item_ends.append(len(item_kinds))
-            ends.append(len(keys))
-        item = pa.StructArray.from_arrays([pa.array(item_kinds, pa.string()), pa.array(item_texts, pa.string())], fields=list(_ITEM))
-        offsets = pa.array([e if there else None for e, there in zip(item_ends, is_list)] + item_ends[-1:], pa.int32())
-        cells = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts_of, pa.string()), pa.array(numbers, pa.float64()), pa.ListArray.from_arrays(offsets, item), pa.array(jsons, pa.string())], fields=list(_CELL))
-        fields_of = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), cells)
-        yield pa.StructArray.from_arrays([pa.array(status, pa.string()), pa.array(lengths, pa.int64()), fields_of], ["status", "body_length", "fields"])
+    status, lengths, ends, keys = [], [], [0], []
+    kinds, texts_of, numbers, jsons, item_ends, is_list, item_kinds, item_texts = [], [], [], [], [0], [], [], []
+    for text in texts.to_pylist():
+        state, length, fields = read_note(text or "")
+        status.append(state)
+        lengths.append(length)
+        for key, value in fields.items():
+            keys.append(key)
+            kinds.append(type_name(value))
+            texts_of.append(display(value))
+            numbers.append(to_number(value))
+            jsons.append(to_json(value))
+            is_list.append(isinstance(value, list))
+            if is_list[-1]:
+                item_kinds += map(type_name, value)
+                item_texts += map(display, value)
+            item_ends.append(len(item_kinds))
+        ends.append(len(keys))
+    item = pa.StructArray.from_arrays([pa.array(item_kinds, pa.string()), pa.array(item_texts, pa.string())], fields=list(_ITEM))
+    offsets = pa.array([e if there else None for e, there in zip(item_ends, is_list)] + item_ends[-1:], pa.int32())
+    cells = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts_of, pa.string()), pa.array(numbers, pa.float64()), pa.ListArray.from_arrays(offsets, item), pa.array(jsons, pa.string())], fields=list(_CELL))
+    fields_of = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), cells)
+    return pa.StructArray.from_arrays([pa.array(status, pa.string()), pa.array(lengths, pa.int64()), fields_of], ["status", "body_length", "fields"])
 
 
 def parsed(content: Column) -> Column:
     """A struct column (status, body_length, fields) of note texts."""
+    # Non-deterministic for the optimiser only: else a filter on a field would parse twice.
+    return F.arrow_udf(_parse, NOTE_DDL).asNondeterministic()(content)
 
-    @F.arrow_udf(NOTE_DDL)
-    def parse(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _parse(texts)
 
-    # Non-deterministic for the optimiser only: else a filter on a field would parse twice.
-    return parse.asNondeterministic()(content)
+# The short way of ``read_fields`` as one pattern, for the JVM: groups are possessive, so
+# that its matcher neither recurses nor goes back, however long the frontmatter is.
+_JVM_VALUE = r"""(?:(?!-[ \n])[\w.+-](?:[\w./+ -]*[\w./+-])?|"[\x00-\x7F&&[^"\\\n]]*"|'[\x00-\x7F&&[^'\n]]*')"""
+_JVM_KEY = "(?!(?:" + "|".join(w for w in _WORDS if w.isalpha()) + r"):)[A-Za-z_][\w-]*:"
+_JVM_PLAIN = rf"\A---\n(?:{_JVM_KEY}(?: {_JVM_VALUE}\n|\n(?:  - {_JVM_VALUE}\n)*+))*+---(?:\n|\z)"
+_JVM_MARK = r"\A\x{FEFF}?---\r?\n"
+
+
+def invalid(content: Column) -> Column:
+    """Whether the frontmatter can't be parsed.
+
+    Texts without a mark, and those with plain lines and distinct keys, are told by the
+    JVM; only others go through Python.
+    """
+    head = F.regexp_extract(content, _JVM_PLAIN, 0)
+    keys = F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z_][\w-]*):"), 1)
+    fine = content.isNull() | ~content.rlike(_JVM_MARK) | ((head != "") & (F.size(keys) == F.size(F.array_distinct(keys))))
+    return F.coalesce(F.arrow_udf(_invalid, "boolean").asNondeterministic()(F.when(~fine, content)), F.lit(False))
+
+
+def _invalid(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else read_note(t)[0] == INVALID for t in texts.to_pylist()], pa.bool_())

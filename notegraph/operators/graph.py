@@ -3,11 +3,15 @@
 Outgoing edges keep the raw target; of notes that share a name the last path's links
 count.  Incoming edges go by the part of a target after its last slash, and merge all
 notes of a name.  Both are plain edge tables; counts never gather a hub's links.
+
+The links of a set of notes are extracted once, in a pass that parses no frontmatter it
+needn't, and written to the shared folder; every graph operator reads that table.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +44,11 @@ class Graph:
 
     def __init__(self, notes: DataFrame):
         self.notes = notes
-        self.linked = notes.select("path_key", "name", links_of(F.col("content")).alias("links"))
 
-    def stored(self) -> Graph:
-        """The same graph over edge tables written once, for traversals of many steps."""
-        out = Graph(self.notes)
-        out.linked = materialise(self.linked, "links")
-        return out
+    @cached_property
+    def linked(self) -> DataFrame:
+        """(path_key, name, links) of every note, written at first use."""
+        return materialise(self.notes.select("path_key", "name", links_of(F.col("content")).alias("links")), "links")
 
     @property
     def last(self) -> DataFrame:
@@ -98,11 +100,11 @@ class Graph:
         return replace(records, df=records.df.join(hits, "name", "left_semi"))
 
     def _satisfying(self, everything: Records, term: str) -> DataFrame:
-        """Names whose last record satisfies one term."""
+        """Names whose last record satisfies one term; written, so that its parse is done before the records are read."""
         parsed = parse_term(term)
         df = self.attach(everything.df, {parsed.field})
         held = F.coalesce(compile_term(parsed, replace(everything, df=df, resolve=type(everything.resolve)(df, everything.resolve.root_name)).resolve(parsed.field)), F.lit(False))
-        return df.select("name", "path_key", held.alias("held")).groupBy("name").agg(F.max_by("held", "path_key").alias("held")).filter("held").select("name")
+        return materialise(df.select("name", "path_key", held.alias("held")).groupBy("name").agg(F.max_by("held", "path_key").alias("held")).filter("held").select("name"), "satisfying")
 
     def links_to_where(self, records: Records, everything: Records, term: str) -> Records:
         hits = self.out.join(self._satisfying(everything, term).withColumnRenamed("name", "dst"), "dst", "left_semi").select(F.col("src").alias("name"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import EditError, InvalidPredicate, SafetyRefused
 from ..functions.editing import Edit, apply_edits
 from ..plans.fields import GRAPH_FIELDS
+from ..session import materialise
 from .graph import Graph
 from .records import Records, fields_in
 
@@ -84,7 +85,7 @@ def move_plan(matching: Records, everything: DataFrame, target: str) -> DataFram
     """path, new_path, conflict: whether the target is taken, by a note or by another moved one."""
     target = target.strip("/")
     base = F.element_at(F.col("path_key"), -1)
-    moved = matching.df.select("path", "path_key", F.concat(F.lit(f"{target}/" if target else ""), base).alias("new_path"))
+    moved = materialise(matching.df.select("path", "path_key", F.concat(F.lit(f"{target}/" if target else ""), base).alias("new_path")), "moved")
     taken = everything.select(F.col("path").alias("new_path"), F.lit(True).alias("taken")).distinct()
     twice = moved.groupBy("new_path").agg((F.count("*") > 1).alias("twice"))
     return moved.join(taken, "new_path", "left").join(twice, "new_path").select("path", "path_key", "new_path", (F.coalesce("taken", F.lit(False)) | F.col("twice")).alias("conflict"))

@@ -1,7 +1,8 @@
 """Record sets: filter, select, sort, limit, count, field profile, tags.
 
 ``Records`` holds a DataFrame, a resolver from field names to columns, and the columns
-of its natural order.  Every method builds a plan; nothing runs here.
+of its natural order.  Every method builds a plan; only profiles, which read their counts
+more than once, are written at once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.fields import TableFields
 from ..plans.predicates import compile_clauses, fields_of, parse_clauses
 from ..plans.values import Value
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -83,13 +85,26 @@ class Records:
         """(field, cell) of every frontmatter field of every record; for notes only."""
         return self.df.select(F.explode("fields").alias("field", "cell"))
 
+    def counted_entries(self) -> DataFrame:
+        """field, type, disp, n: how often each value stands, written once; one parse for all that is read from it.
+
+        ``disp`` is null for lists and maps.  The row whose field is null counts the records.
+        """
+        entry = lambda field, kind, disp: F.struct(field.alias("field"), kind.alias("type"), disp.alias("disp"))
+        none = F.lit(None).cast("string")
+        each = F.transform(F.map_entries("fields"), lambda e: entry(e["key"], e["value"]["type"], F.when(~e["value"]["type"].isin("list", "map"), e["value"]["disp"])))
+        entries = self.df.select(F.explode(F.concat(each, F.array(entry(none, none, none)))).alias("e")).select("e.*")
+        return materialise(entries.groupBy("field", "type", "disp").agg(F.count("*").alias("n")), "entries")
+
     def field_profile(self) -> DataFrame:
         """field, types (sorted, joined), non_null, present, coverage in whole percent (half to even)."""
-        total = self.df.agg(F.count("*").alias("total")).scalar()
-        by_field = (
-            self.entries()
-            .groupBy("field")
-            .agg(F.array_join(F.array_sort(F.collect_set("cell.type")), ", ").alias("types"), F.count_if(F.col("cell.type") != "null").alias("non_null"), F.count("*").alias("present"))
+        entry = lambda field, kind: F.struct(field.alias("field"), kind.alias("type"))
+        none = F.lit(None).cast("string")
+        each = F.transform(F.map_entries("fields"), lambda e: entry(e["key"], e["value"]["type"]))
+        by_type = materialise(self.df.select(F.explode(F.concat(each, F.array(entry(none, none)))).alias("e")).groupBy("e.field", "e.type").agg(F.count("*").alias("n")), "types")
+        total = by_type.filter("field is null").agg(F.sum("n")).scalar()
+        by_field = by_type.filter("field is not null").groupBy("field").agg(
+            F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("types"), F.coalesce(F.sum(F.when(F.col("type") != "null", F.col("n"))), F.lit(0).cast("long")).alias("non_null"), F.sum("n").alias("present")
         )
         return by_field.select("field", "types", "non_null", "present", F.bround(F.col("present") / total * 100, 0).cast("int").alias("coverage"))
 

@@ -113,14 +113,15 @@ def infer(records: Records) -> DataFrame:
     values, under half as many as there are scalars, make an enum; only 11 distinct
     values of a field are ever gathered.
     """
-    total = records.df.agg(F.count("*").alias("total")).scalar()
-    entries = records.entries().select("field", "cell.type", "cell.disp")
-    by_type = entries.groupBy("field", "type").agg(F.count("*").alias("n"))
+    counts = records.counted_entries()
+    total = counts.filter("field is null").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    entries = counts.filter("field is not null")
+    by_type = entries.groupBy("field", "type").agg(F.sum("n").alias("n"))
     types = by_type.groupBy("field").agg(
         F.coalesce(F.max_by(F.when(F.col("type") != "null", F.col("type")), F.when(F.col("type") != "null", F.struct("n", "type"))), F.lit("string")).alias("type"),
         F.coalesce(F.sum(F.when(F.col("type") != "null", F.col("n"))), F.lit(0)).alias("non_null"),
     )
-    values = entries.filter(~F.col("type").isin("null", "list", "map")).groupBy("field", "disp").agg(F.count("*").alias("n"))
+    values = entries.filter(~F.col("type").isin("null", "list", "map")).groupBy("field", "disp").agg(F.sum("n").alias("n"))
     counted = values.groupBy("field").agg(F.count("*").alias("distinct"), F.sum("n").alias("scalars"))
     few = counted.filter((F.col("distinct") <= 10) & (F.col("distinct") < F.floor(F.col("scalars") / 2))).select("field")
     enums = values.join(few, "field").groupBy("field").agg(F.array_sort(F.collect_list("disp")).alias("enum"))

@@ -6,6 +6,8 @@ YAML, cells, links, query); the SQL computes the answer from the tables themselv
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .operators import output, schema
 from .operators.records import Records, from_table
+from .session import materialise, own_folder
 from .sources import render
-from .vault import Notes
+from .vault import Notes, Vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +36,11 @@ def _pick(records: Records, *fields: str) -> DataFrame:
     return records.df.select(*[number(f[1:]) if f[0] == "#" else records.column(f).alias(f.lstrip("_")) for f in ("_name", *fields)])
 
 
+def _pick_vip(records: Records) -> DataFrame:
+    """``vip`` with its kind, which tells a null from an absent field."""
+    return records.df.select("name", records.column("vip").alias("vip"), records.resolve("vip").kind.alias("vip_kind"))
+
+
 def _register(name: str, sql: str):
     def add(query: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name], SQL[name] = query, sql
@@ -50,7 +58,9 @@ _VIP = "CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'gold'
 _MONEY = lambda c: f"CAST(CAST({c} AS DECIMAL(18,2)) AS DOUBLE)"
 _ORDER_SQL = f"SELECT {_O} AS name, o_orderstatus AS status, {_MONEY('o_totalprice')} AS totalprice FROM orders WHERE "
 _PART_SQL = f"SELECT {_P} AS name, p_type AS type, CAST(p_size AS DOUBLE) AS size FROM part WHERE "
-_CUSTOMER_SQL = f"SELECT {_C} AS name, {_VIP} AS vip FROM customer WHERE "
+_VIP_KIND = "CASE c_custkey % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'null' END"
+_VIP_SHOWN = f"CASE c_custkey % 3 WHEN 0 THEN {_VIP} WHEN 1 THEN '' END"  # null has an empty text, an absent field none
+_CUSTOMER_SQL = f"SELECT {_C} AS name, {_VIP_SHOWN} AS vip, {_VIP_KIND} AS vip_kind FROM customer WHERE "
 
 _WHERE = {
     # orders: text and numbers
@@ -85,14 +95,13 @@ _WHERE = {
     "where_neq_null": ("customers", ["vip != gold"], f"{_VIP} <> 'gold'"),
     "where_virtual_name": ("customers", ["_name > C000001000", "_folder = customers"], "c_custkey > 1000"),
 }
-_SHOWN = {"orders": ("status", "#totalprice"), "parts": ("type", "#size"), "customers": ("vip",)}
+_SHOWN = {"orders": ("status", "#totalprice"), "parts": ("type", "#size")}
 
 
 def _add_where(name: str, kind: str, clauses: list[str], condition: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         records = _notes(spark, getattr(render, kind)(spark, sf_dir)).records().where(*clauses)
-        picked = _pick(records, *_SHOWN[kind])
-        return picked.withColumn("vip", F.when(F.col("vip") != "", F.col("vip"))) if kind == "customers" else picked
+        return _pick_vip(records) if kind == "customers" else _pick(records, *_SHOWN[kind])
 
     QUERIES[name], SQL[name] = query, {"orders": _ORDER_SQL, "parts": _PART_SQL, "customers": _CUSTOMER_SQL}[kind] + condition
 
@@ -117,24 +126,39 @@ def file_lengths(spark, sf_dir):
     return _pick(_notes(spark, render.documents(spark, sf_dir)).records(), "_length", "_body_length")
 
 
+@_register("percent_names", "SELECT 'C ' || c_custkey || 'é%2x' AS name, 'people' AS folder FROM customer WHERE c_custkey % 10 <> 3")
+def percent_names(spark, sf_dir):
+    """Names are decoded, a malformed escape stays; bytes are Latin-1."""
+    key = F.col("c_custkey").cast("string")
+    texts = render.table(spark, sf_dir, "customer").select(F.concat(F.lit("people/C%20"), key, F.lit("%E9%2x.md")).alias("path"), F.lit("no frontmatter").alias("content"))
+    return _pick(_notes(spark, texts).records().where("_name !matches 3é%2x$"), "_folder")
+
+
+@_register("times", f"SELECT {_O} AS name, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || printf(' %02d:%02d', 4 + o_orderkey % 20, o_orderkey % 60) AS modified, NULL::VARCHAR AS created FROM orders WHERE year(o_orderdate) >= 1997")
+def times(spark, sf_dir):
+    """Times as text, to the minute; a time that is not known is an absent field."""
+    day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    mtime = F.make_timestamp(F.year(day), F.month(day), F.day(day), 4 + key % 20, key % 60, F.lit(59.5)).alias("mtime")
+    texts = render.table(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), render.note_name("O", key), F.lit(".md")).alias("path"), F.lit("").alias("content"), mtime)
+    return _pick(_notes(spark, texts).records().where("_modified >= 1997-01-01", "_created missing"), "_modified", "_created")
+
+
 @_register("sort_limit", f"SELECT {_O} AS name, {_MONEY('o_totalprice')} AS totalprice FROM orders ORDER BY totalprice DESC, name DESC LIMIT 25")
 def sort_limit(spark, sf_dir):
     return _pick(_notes(spark, render.orders(spark, sf_dir)).query(sort="totalprice", desc=True, limit=25), "#totalprice")
 
 
-_SORT_SQL = "SELECT name, vip FROM (SELECT " + f"{_C} AS name, {_VIP} AS vip".replace("%", "%%") + ", CASE c_custkey %% 3 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS rank FROM customer) ORDER BY rank %s, vip %s, name %s LIMIT 700"
+_SORT_SQL = "SELECT name, vip, vip_kind FROM (SELECT " + f"{_C} AS name, {_VIP_SHOWN} AS vip, {_VIP_KIND} AS vip_kind".replace("%", "%%") + ", CASE c_custkey %% 3 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS rank FROM customer) ORDER BY rank %s, vip %s, name %s LIMIT 700"
 
 
 @_register("sort_missing_first", _SORT_SQL % (("ASC",) * 3))
 def sort_missing_first(spark, sf_dir):
-    picked = _pick(_notes(spark, render.customers(spark, sf_dir)).query(sort="vip", limit=700), "vip")
-    return picked.withColumn("vip", F.when(F.col("vip") != "", F.col("vip")))
+    return _pick_vip(_notes(spark, render.customers(spark, sf_dir)).query(sort="vip", limit=700))
 
 
 @_register("sort_desc_ties", _SORT_SQL % (("DESC",) * 3))
 def sort_desc_ties(spark, sf_dir):
-    picked = _pick(_notes(spark, render.customers(spark, sf_dir)).query(sort="vip", desc=True, limit=700), "vip")
-    return picked.withColumn("vip", F.when(F.col("vip") != "", F.col("vip")))
+    return _pick_vip(_notes(spark, render.customers(spark, sf_dir)).query(sort="vip", desc=True, limit=700))
 
 
 @_register("nested_values", "SELECT printf('V%09d', conv_id) AS name, '[' || string_agg('{\"role\":\"' || role || '\",\"turn\":' || turn || '}', ',' ORDER BY turn) || ']' AS turns FROM conversations GROUP BY conv_id")
@@ -247,6 +271,14 @@ def links_outgoing(spark, sf_dir):
     return _notes(spark, render.orders_parts(spark, sf_dir), render.parts(spark, sf_dir, where="p_size > 25")).links("O000000012", "outgoing")
 
 
+@_register("links_outside_code", f"SELECT {_P} AS src, unnest(['A' || p_partkey, 'D ' || p_size, 'dir/E']) AS dst FROM part")
+def links_outside_code(spark, sf_dir):
+    """Fenced and inline code is left out, across lines too; a lone backtick isn't code."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    body = F.concat(F.lit("See [[A"), key, F.lit("]] `[[B]]` and `x\n[[B2]]`.\n```py\n[[C]] ` [[C2]]\n```\n[[D "), size, F.lit("#part|shown]] ```[[F]]``` [[dir/E]] ` [[A"), key, F.lit("]]\n"))
+    return _notes(spark, render.table(spark, sf_dir, "part").select(*render.note("parts", render.note_name("P", F.col("p_partkey")), [], body))).graph.out
+
+
 _EDGES = """edges AS (
   SELECT printf('C%09d', c_custkey) AS src, n_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -278,6 +310,15 @@ def traverse_where(spark, sf_dir):
     return walked.select("name", "depth", F.col("acctbal").cast("double").alias("acctbal"))
 
 
+@_register("traverse_ghost", "SELECT 'Gone' AS name, 0 AS depth, false AS resolved UNION ALL SELECT printf('P%09d', p_partkey), 1, true FROM part WHERE p_size > 40")
+def traverse_ghost(spark, sf_dir):
+    """A name that is no note, but is linked to, is walked from; one that nothing knows gives no rows."""
+    parts = render.table(spark, sf_dir, "part").select(*render.note("parts", render.note_name("P", F.col("p_partkey")), [], F.when(F.col("p_size") > 40, "[[x/Gone]]").otherwise("[[P000000001]]")))
+    notes = _notes(spark, parts)
+    walk = lambda start: notes.traverse(start, 3, "incoming").select("name", "depth", "resolved")
+    return walk("Gone").union(walk("Nowhere"))
+
+
 @_register("unresolved_all", "SELECT printf('P%09d', l_partkey) AS target, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 5 GROUP BY l_partkey")
 def unresolved_all(spark, sf_dir):
     return _notes(spark, render.orders_parts(spark, sf_dir), render.parts(spark, sf_dir, where="p_size > 5")).unresolved()
@@ -339,6 +380,72 @@ def schema_infer_optional(spark, sf_dir):
     return _notes(spark, render.customers(spark, sf_dir)).infer_schema().select("field", "type", "required", F.array_join("enum", "|").alias("enum"))
 
 
+@_register("schema_shown", "SELECT 'parts' AS collection, 'parts' AS folder, 'size > 10' AS filter, 'size, colour' AS required, field, type, enum, lo AS min, hi AS max FROM (VALUES ('retailprice', 'integer', '', NULL::DOUBLE, NULL::DOUBLE), ('size', 'number', '', 12.0, 45.0), ('type', 'string', 'SMALL, MEDIUM, LARGE, PROMO, STANDARD', NULL, NULL)) t(field, type, enum, lo, hi)")
+def schema_shown(spark, sf_dir):
+    shown = schema.show(spark, schema.for_folder(schema.load(PART_RULES), "parts"))
+    return shown.select("collection", "folder", *[F.array_join(c, ", ").alias(c) for c in ("filter", "required")], "field", "type", F.array_join("enum", ", ").alias("enum"), "min", "max")
+
+
+@_register("columns_shown", "SELECT unnest(['acctbal', 'code', 'key', 'nation', 'tags', 'vip']) AS field")
+def columns_shown(spark, sf_dir):
+    """The keys that any note has are the columns if none are selected."""
+    return _notes(spark, *_places(spark, sf_dir)).records().field_names()
+
+
+# --- files ----------------------------------------------------------------------------
+
+
+def _vault(spark: SparkSession, sf_dir: str) -> Vault:
+    """A vault of files in the shared folder: regions and nations, one note at the top, and what isn't a note."""
+    root = f"{own_folder(spark).removeprefix('file:')}/vault-{uuid.uuid4().hex}"
+    for folder in (".obsidian", "regions/nations", "regions/.hidden"):
+        os.makedirs(f"{root}/{folder}")
+    vault = Vault(spark, root)
+    with open(f"{root}/nation.txt", "w", encoding="utf-8") as f:
+        f.write("---\ntags:\n  - place\n---\n")
+    for r in render.table(spark, sf_dir, "region").orderBy("r_regionkey").collect():  # five rows
+        vault.create("regions", r["r_name"], set=[f"key = {r['r_regionkey']}"], apply=True)
+    for r in render.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        vault.create("regions/nations", r["n_name"], template="nation.txt", set=[f"key = {r['n_nationkey']}", f"region = region {r['n_regionkey']}"], apply=True)
+    vault.create("", "Top", apply=True)
+    for path, text in (("regions/readme.txt", "no note"), ("regions/.hidden/x.md", ""), ("regions/broken.md", "---\na: [1\n---\n")):
+        with open(f"{root}/{path}", "w", encoding="utf-8") as f:
+            f.write(text)
+    return vault
+
+
+_REGION_FILE = "'regions/' || r_name || '.md' AS path, r_name AS name, 'regions' AS folder, r_regionkey::VARCHAR AS key, CAST(18 + length(r_name) + length(r_regionkey::VARCHAR) AS BIGINT) AS length"
+_NATION_FILE = "'regions/nations/' || n_name || '.md' AS path, n_name AS name, 'nations' AS folder, n_nationkey::VARCHAR AS key, CAST(47 + length(n_nationkey::VARCHAR) AS BIGINT) AS length"
+
+
+@_register(
+    "files_listed",
+    f"SELECT 'flat' AS listing, {_REGION_FILE} FROM region UNION ALL SELECT 'deep', {_REGION_FILE} FROM region UNION ALL SELECT 'deep', {_NATION_FILE} FROM nation UNION ALL SELECT 'deep', 'Top.md', 'Top', split_part(path, '/', -1), NULL, 15 FROM (SELECT 'vault' AS path)",
+)
+def files_listed(spark, sf_dir):
+    """Created files, listed flat and with all folders below; dot folders, other files and broken notes are left out."""
+    vault = _vault(spark, sf_dir)
+    flat, deep = (_pick(vault.notes(folder, recursive).query(), "_path", "_folder", "key", "_length") for folder, recursive in (("regions", False), ("", True)))
+    named = lambda df, listing: df.select(F.lit(listing).alias("listing"), "path", "name", F.when(F.col("path") == "Top.md", "vault").otherwise(F.col("folder")).alias("folder"), "key", "length")
+    return materialise(named(flat, "flat"), "flat").union(named(deep, "deep"))
+
+
+@_register(
+    "files_changed",
+    """SELECT CASE WHEN n_nationkey = 5 THEN 'moved/' || n_name ELSE 'regions/nations/' || CASE n_nationkey WHEN 3 THEN 'Renamed' ELSE n_name END END || '.md' AS path,
+      CASE WHEN n_regionkey = 1 THEN 'first' ELSE 'region ' || n_regionkey END AS region, CASE WHEN n_regionkey = 1 THEN 'place, seen' ELSE 'place' END AS tags
+    FROM nation WHERE n_nationkey <> 7""",
+)
+def files_changed(spark, sf_dir):
+    """Update, rename, move and delete, applied to files, then what the files hold."""
+    vault, nations = _vault(spark, sf_dir), "regions/nations"
+    vault.update(nations, ["region = region 1"], set=["region = first"], add_tag=["seen"], apply=True)
+    vault.rename("NATION_3", "Renamed", nations, apply=True)
+    vault.move(nations, ["key = 5"], "moved", apply=True)
+    vault.delete(nations, ["key = 7"], apply=True)
+    return _pick(vault.notes("", True).query(["region exists"]), "_path", "region", "tags").drop("name")
+
+
 # --- change plans ---------------------------------------------------------------------
 
 

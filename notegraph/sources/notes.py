@@ -2,7 +2,7 @@
 
 A notes DataFrame has path, path_key (its parts; sorts component by component), name,
 content, mtime, ctime, status, body_length and fields.  Parsing is one Arrow step that
-Spark drops where no column of it is used; link operators read ``content`` alone.
+Spark drops where no column of it is used: which notes are valid is told without it.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FolderNotFound, VaultNotFound
-from ..functions.frontmatter import INVALID, parsed
+from ..functions.frontmatter import invalid, parsed
 from ..plans.fields import name_of
+from ..session import materialise
 
 #: The folder that marks a vault's root.
 MARKER = ".obsidian"
@@ -39,25 +40,70 @@ def resolve_folder(root: str, folder: str) -> str:
     return path
 
 
-def list_notes(path: str, recursive: bool) -> list[str]:
-    """Note files of a folder.
+def scan(path: str, recursive: bool) -> tuple[list[str], list[str]]:
+    """(note files, folders to go on with) of one folder.
 
     Flat: every file (also through a link) whose ending is ``md``.  Recursive: links
-    are not followed, and entries that start with a dot are left out, the folder
-    itself included.
+    are not followed, and entries that start with a dot are left out.
     """
-    if not recursive:
-        with os.scandir(path) as entries:
-            return sorted(e.path for e in entries if e.is_file() and _is_note(e.name))
-    if os.path.basename(os.path.normpath(path)).startswith("."):
+    files, folders = [], []
+    with os.scandir(path) as entries:
+        for e in entries:
+            if not recursive:
+                files += [e.path] if _is_note(e.name) and e.is_file() else []
+            elif not e.name.startswith("."):
+                if e.is_dir(follow_symlinks=False):
+                    folders.append(e.path)
+                elif _is_note(e.name) and e.is_file(follow_symlinks=False):
+                    files.append(e.path)
+    return files, folders
+
+
+def list_notes(path: str, recursive: bool) -> list[str]:
+    """Note files of a folder, listed here; recursive: also of those below it, and none if its own name starts with a dot."""
+    if recursive and os.path.basename(os.path.normpath(path)).startswith("."):
         return []
-    found = []
-    for folder, folders, files in os.walk(path, followlinks=False):
-        folders[:] = [f for f in folders if not f.startswith(".")]
-        found += [p for f in files if _is_note(f) and not f.startswith(".") and not os.path.islink(p := os.path.join(folder, f))]
+    found, folders = [], [path]
+    while folders:
+        files, below = scan(folders.pop(), recursive)
+        found += files
+        folders += below
     return sorted(found)
 
 
+#: A tree of up to this many folders is walked by one task; beyond, each level's folders are dealt to all.
+FOLDERS_A_TASK = 1_000
+
+
+def listed(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """path: the files of ``list_notes``, listed by the tasks.
+
+    A task walks down from its folders until it has seen ``FOLDERS_A_TASK``; what is left
+    is dealt out anew.  Neither files nor folders reach the driver.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            folders = batch.column(0).to_pylist()
+            while folders and seen < FOLDERS_A_TASK:
+                files, below = scan(folders.pop(0), recursive)
+                folders += below
+                seen += 1
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array([False] * len(files), pa.bool_())], ["path", "is_folder"])
+            yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array([True] * len(folders), pa.bool_())], ["path", "is_folder"])
+
+    hidden = recursive and os.path.basename(os.path.normpath(path)).startswith(".")
+    level, found = spark.createDataFrame([] if hidden else [(path,)], "path string").coalesce(1), None
+    while True:
+        out = materialise(level.mapInArrow(walk, "path string, is_folder boolean"), "listing")
+        files = out.filter("not is_folder").select("path")
+        found = files if found is None else found.unionByName(files)
+        if out.filter("is_folder").isEmpty():
+            return found
+        level = out.filter("is_folder").select("path").repartition(spark.sparkContext.defaultParallelism * 4)
+
+
 def _is_note(name: str) -> bool:
     return os.path.splitext(name)[1] == ".md"
 
@@ -81,10 +127,10 @@ def _read_files(root: str):
 
 
 def read_folder(spark: SparkSession, root: str, folder: str = "", recursive: bool = False) -> DataFrame:
-    """The notes of a folder of a mounted file system; the files are read by the tasks."""
-    paths = list_notes(resolve_folder(root, folder), recursive)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return notes(listed.repartition(max(1, min(len(paths) // 500, spark.sparkContext.defaultParallelism * 4))).mapInArrow(_read_files(root), "path string, content string, mtime timestamp, ctime timestamp"))
+    """The notes of a folder that is mounted on all nodes; the files are listed and read by the tasks."""
+    paths = listed(spark, resolve_folder(root, folder), recursive)
+    parts = max(1, min(paths.count() // 500, spark.sparkContext.defaultParallelism * 4))
+    return notes(paths.repartition(parts).mapInArrow(_read_files(root), "path string, content string, mtime timestamp, ctime timestamp"))
 
 
 def notes(texts: DataFrame) -> DataFrame:
@@ -94,5 +140,6 @@ def notes(texts: DataFrame) -> DataFrame:
     """
     known = [c for c in ("mtime", "ctime") if c in texts.columns]
     base = texts.select("path", F.split("path", "/").alias("path_key"), name_of(F.col("path")).alias("name"), "content", *known)
-    parsed_notes = base.withColumn("_parsed", parsed(F.col("content")))
-    return parsed_notes.select(*base.columns, "_parsed.status", "_parsed.body_length", "_parsed.fields").filter(F.col("status") != INVALID)
+    # Both steps stand in one projection, so that one Arrow exchange does for both, and either is dropped alone.
+    judged = base.select("*", parsed(F.col("content")).alias("_parsed"), invalid(F.col("content")).alias("_invalid"))
+    return judged.filter(~F.col("_invalid")).select(*base.columns, "_parsed.status", "_parsed.body_length", "_parsed.fields")

@@ -13,10 +13,11 @@ from .errors import EditError, NoteError
 from .functions.editing import apply_edits, quoted
 from .functions.frontmatter import split_note
 from .operators import mutate, output, schema
+from .operators.apply import move_files, remove_files, replace_text, taken, trash_files, write_texts
 from .operators.graph import Graph
 from .operators.records import Records, fields_in
 from .plans.fields import GRAPH_FIELDS, NoteFields
-from .session import ship
+from .session import materialise, ship
 from .sources.notes import discover, notes, read_folder, resolve_folder
 
 SCHEMA_FILE = "schema.yaml"
@@ -113,7 +114,11 @@ class Notes:
 
 
 class Vault:
-    """A vault in a mounted folder.  Changes are plans unless ``apply`` is true."""
+    """A vault in a folder that is mounted on all nodes.  Changes are plans unless ``apply`` is true.
+
+    Files are listed, read and changed by the tasks; a plan is written to the shared folder
+    before it is applied.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None, start: str = "."):
         self.spark, self.root = ship(spark), os.path.abspath(root) if root is not None else discover(start)
@@ -164,17 +169,17 @@ class Vault:
             else:
                 text = f"---\n{edit.key}: {quoted(edit.value)}\n---\n{text}"
         if apply:
-            self._write(path, text)
+            replace_text(path, text)
         return text
 
     def update(self, folder: str, where: Iterable[str], recursive: bool = False, apply: bool = False, **edits: Iterable[str]) -> DataFrame:
         plan = self.notes(folder, recursive).update_plan(where, **edits)
         if apply:
-            rows = plan.select("path", "new_content", "error").collect()
-            if failed := [r for r in rows if r["error"]]:
-                raise EditError(f"{failed[0]['path']}: {failed[0]['error']}; nothing was written")
-            for r in rows:
-                self._write(os.path.join(self.root, r["path"]), r["new_content"])
+            plan = materialise(plan, "update")
+            failed = plan.filter("error is not null").orderBy("path_key").select("path", "error").first()
+            if failed:
+                raise EditError(f"{failed['path']}: {failed['error']}; nothing was written")
+            write_texts(plan, self.root)
         return plan
 
     def rename(self, old: str, new: str, folder: str = "", apply: bool = False) -> DataFrame:
@@ -189,9 +194,8 @@ class Vault:
             raise NoteError(f"several notes are named '{new}'")
         plan = whole.rename_plan(old, new)
         if apply:
-            rows = plan.select("path", "new_content").collect()
-            for r in rows:  # texts first, the file last: a note that links to itself moves along
-                self._write(os.path.join(self.root, r["path"]), r["new_content"])
+            plan = materialise(plan, "rename")
+            write_texts(plan, self.root)  # texts first, the file last: a note that links to itself moves along
             os.rename(source, target)
         return plan
 
@@ -200,36 +204,20 @@ class Vault:
         everything = self.notes(to).df if os.path.isdir(there) else self.spark.createDataFrame([], "path string")
         plan = self.notes(folder, recursive).move_plan(where, to, everything)
         if apply:
-            rows = plan.collect()
-            if taken := [r for r in rows if r["conflict"] or os.path.exists(os.path.join(self.root, r["new_path"]))]:
-                raise NoteError(f"conflict: {taken[0]['new_path']}")
+            plan = materialise(plan, "move")
+            if conflict := plan.filter("conflict").first() or plan.join(taken(plan, self.root), "path", "left_semi").first():
+                raise NoteError(f"conflict: {conflict['new_path']}")
             os.makedirs(there, exist_ok=True)
-            for r in rows:
-                os.rename(os.path.join(self.root, r["path"]), os.path.join(self.root, r["new_path"]))
+            move_files(plan, self.root)
         return plan
 
     def delete(self, folder: str, where: Iterable[str], recursive: bool = False, force: bool = False, apply: bool = False) -> DataFrame:
         plan = self.notes(folder, recursive).delete_plan(where, self.whole().graph)
         if apply:
-            for r in plan.select("path").collect():
-                path = os.path.join(self.root, r["path"])
-                if force:
-                    os.remove(path)
-                    continue
-                trash = os.path.join(self.root, TRASH)
-                os.makedirs(trash, exist_ok=True)
-                stem, ending = os.path.splitext(os.path.basename(path))
-                goal = os.path.join(trash, stem + ending)
-                if os.path.exists(goal):
-                    goal = os.path.join(trash, f"{stem}.{int(time.time())}{ending}")
-                os.rename(path, goal)
+            plan = materialise(plan, "delete")
+            if force:
+                remove_files(plan, self.root)
+            else:
+                os.makedirs(os.path.join(self.root, TRASH), exist_ok=True)
+                trash_files(plan, self.root, TRASH, int(time.time()))
         return plan
-
-    @staticmethod
-    def _write(path: str, text: str) -> None:
-        """Replace a file at once: readers see the old text or the new one."""
-        with open(f"{path}.tmp", "w", encoding="utf-8", newline="") as f:
-            f.write(text)
-        os.replace(f"{path}.tmp", path)
-
-

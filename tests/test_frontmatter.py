@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from notegraph.functions.frontmatter import ABSENT, INVALID, OK, read_fields, read_note, read_yaml, split_note
+from pyspark.sql import functions as F
+
+from notegraph.functions.frontmatter import ABSENT, INVALID, OK, invalid, read_fields, read_note, read_yaml, split_note
 from notegraph.functions.values import display, float_text, parse_number, to_cell, to_json, to_number, type_name
 
 
@@ -81,3 +83,15 @@ def test_short_way_equals_the_parser(text):
             return "invalid"
 
     assert outcome(read_fields) == outcome(read_yaml)
+
+
+CASES = ["a: 1", "a: 1\na: 2", "a:\n  - x\n  - y", "  - x", "a: 1\n  - x", "a: - x", "a: -", "a: -5", 'q: "x \\" y"', 'q: "plain"', "q: 'it\\'", "null: 1", "nullable: 1", "true: 1", "é: 1", "a: é", "a: [1", "a: {b: 1}", "a: x: y", "a: x #c", "a:", "a:\n\nb: 1", "- a", "text", "", "a: 1\r", 'a: "x\ry: 1"', "a: 'b'\nc: 1.5e3\nd-e: f/g h", "a: *x", "a:\n  - - x", "k: v\n" * 2, "\n".join(f"k{i}: v" for i in range(3000)), "l:\n" + "  - x\n" * 3000 + "m: 1", 'long: "' + "x" * 100_000 + '"']
+FORMS = ["---\n{}\n---\nbody", "---\n{}\n---", "---\r\n{}\r\n---\r\n", "\ufeff---\n{}\n---\n", "{}", "---\n{}", "---\n{}\n---\n---\n{}\n---\n"]
+
+
+def test_the_jvm_tells_the_same_notes_invalid(spark):
+    texts = [f.replace("{}", c) for f in FORMS for c in CASES] + [None, "", "---\n---", "---\n---\n", "---", "---\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(3)
+    got = {r["n"]: r["i"] for r in df.select("n", invalid(F.col("t")).alias("i")).collect()}
+    for n, text in enumerate(texts):
+        assert got[n] == (read_note(text or "")[0] == INVALID), text

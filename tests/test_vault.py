@@ -3,8 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from notegraph.errors import EditError, FolderNotFound, InvalidPredicate, NoteError, SafetyRefused, VaultNotFound
+from notegraph.operators import apply
+from notegraph.session import materialise
+from notegraph.sources import notes as sources
 from notegraph.sources.notes import discover, list_notes
 from notegraph.vault import Vault
 
@@ -53,6 +57,39 @@ def test_discovery_and_listing(root, tmp_path_factory):
     assert list_notes(str(root / "notes" / ".hidden"), True) == [] and len(list_notes(str(root / "notes" / ".hidden"), False)) == 1
 
 
+@pytest.mark.parametrize("folders_a_task", [1, 2, 1000])
+def test_tasks_list_the_same_files(spark, root, monkeypatch, folders_a_task):
+    monkeypatch.setattr(sources, "FOLDERS_A_TASK", folders_a_task)
+    write(root, {f"deep/{i % 3}/{i % 5}/x{i}.md": "" for i in range(40)})
+    os.symlink(root / "deep", root / "loop")
+    os.symlink(root / "notes/one.md", root / "deep/0/alias.md")
+    for folder in ("", "notes", "deep", "deep/0", "notes/.hidden"):
+        for recursive in (False, True):
+            path = os.path.join(root, folder)
+            assert sorted(r[0] for r in sources.listed(spark, path, recursive).collect()) == list_notes(path, recursive)
+
+
+def test_applied_changes_can_be_run_again(spark, root):
+    """As a task that is retried does: nothing is lost and nothing fails."""
+    plan = materialise(spark.createDataFrame([("notes/one.md", "one", "new text", "done/one.md"), ("notes/two.md", "two", "2", "done/two.md")], "path string, name string, new_content string, new_path string").withColumn("path_key", F.split("path", "/")), "plan")
+    for _ in range(2):
+        assert apply.write_texts(plan, str(root)) == 2
+    assert (root / "notes/one.md").read_text() == "new text" and apply.taken(plan, str(root)).collect() == []
+    os.makedirs(root / "done")
+    for _ in range(2):
+        assert apply.move_files(plan, str(root)) == 2
+    assert (root / "done/two.md").read_text() == "2" and not (root / "notes/two.md").exists() and apply.taken(plan, str(root)).count() == 2
+    there = plan.withColumn("path", F.col("new_path"))
+    write(root, {"a/same.md": "a", "b/same.md": "b", "c/same.md": "c", ".trash/one.md": "old"})
+    same = spark.createDataFrame([(f"{x}/same.md", "same") for x in "abc"], "path string, name string").withColumn("path_key", F.split("path", "/"))
+    for _ in range(2):
+        assert apply.trash_files(there.select("path", "name", "path_key").union(same), str(root), ".trash", 77) == 5
+    assert {p: (root / ".trash" / p).read_text() for p in os.listdir(root / ".trash")} == {"one.md": "old", "one.77.md": "new text", "two.md": "2", "same.md": "a", "same.77-2.md": "b", "same.77-3.md": "c"}
+    for _ in range(2):
+        assert apply.remove_files(plan.withColumn("path", F.lit("notes/plain.md")), str(root)) == 2
+    assert not (root / "notes/plain.md").exists()
+
+
 def test_records_and_virtual_fields(spark, root):
     vault = Vault(spark, str(root))
     notes = vault.notes("notes")
