@@ -9,8 +9,8 @@ together in the labelled URLs are one item, and such that all of them hold are n
 that itemsets don't multiply over words that say the same.  FP-growth mines the itemsets
 of the URLs with a bad label alone; their support among all labelled URLs, counted by the
 same index that judges pages, gives confidence.  Rules are pruned by support, by
-confidence, and by a test that the confidence exceeds the share of bad labels, which can
-be met at any share.  An inverted index from each rule's rarest item, under every token
+confidence, and by a test that the confidence exceeds the share of bad labels by more than
+the luckiest of all itemsets would, which can be met at any share.  An inverted index from each rule's rarest item, under every token
 of that item, finds the rules of a URL.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
@@ -23,6 +23,8 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,16 +82,20 @@ def _classes(rows: DataFrame, least: float, total: int) -> DataFrame:
     return materialise(counted.join(firsts, ["n", "rows"]).select("token", "item", "n"), "url-classes")
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_deviation: float = 4.0) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, chance: float = 0.01) -> DataFrame:
     """Rules from ``labelled`` (url, bad boolean): antecedent (an item's first tokens), items (all
     tokens of each item), key (a token of the rarest item), confidence, lift, support.
 
     Their number depends on the support bound and not on the number of rows.
-    ``min_deviation``: standard deviations by which a rule's bad rows exceed the expected ones.
+    ``chance``: the chance, at most, that any rule passes where labels don't depend on URLs;
+    Chernoff's bound on a rule's bad rows, times the number of itemsets tried.
     """
     rules = candidate_rules(labelled, min_support)
-    expected = F.col("n") * F.col("base")
-    passed = (F.col("confidence") >= min_confidence) & ((F.col("n_bad") - expected) >= min_deviation * F.sqrt(expected * (1 - F.col("base"))))
+    tried = rules.count()
+    c, base = F.col("confidence"), F.col("base")
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
+    bound = F.col("n") * (part(c, base) + part(1 - c, 1 - base))
+    passed = (c >= min_confidence) & (c > base) & (bound >= math.log(max(tried, 1) / chance))
     return rules.filter(passed).select("antecedent", "items", F.explode("keys").alias("key"), "confidence", "lift", "support")
 
 

@@ -77,7 +77,7 @@ def test_mined_combinations_block(spark):
             assert (got[r["page_id"]] == "block") == any(set(x["antecedent"]) <= set(r["t"]) for x in every)
 
 
-def brute_rules(rows, support, confidence, deviation):
+def brute_rules(rows, support, confidence, chance, tried):
     """{antecedent: confidence} over all sets of tokens, each token by itself."""
     known = [(frozenset(t), bad) for t, bad in rows]
     total, bads = len(known), sum(b for _, b in known)
@@ -88,8 +88,10 @@ def brute_rules(rows, support, confidence, deviation):
         for chosen in itertools.combinations(sorted(every), size):
             n = sum(t.issuperset(chosen) for t, _ in known)
             k = sum(b and t.issuperset(chosen) for t, b in known)
-            if n and k >= support * total and k / n >= confidence and k - n * base >= deviation * math.sqrt(n * base * (1 - base)):
-                found[frozenset(chosen)] = k / n
+            if n and k >= support * total and k / n >= max(confidence, base):
+                bound = k * math.log(k / n / base) + ((n - k) * math.log((n - k) / n / (1 - base)) if n > k else 0)
+                if bound >= math.log(tried / chance):
+                    found[frozenset(chosen)] = k / n
     return found
 
 
@@ -104,7 +106,7 @@ def test_rules_against_all_sets(spark, noise):
         rows.append((f"http://x.org/{'/'.join(tokens)}/{i}", bad))
     df = spark.createDataFrame(rows, "url string, bad boolean")
     tokens = {r["url"]: r["t"] for r in df.select("url", urls.url_tokens(F.col("url")).alias("t")).collect()}
-    wanted = brute_rules([(tokens[u], b) for u, b in rows], 0.02, 0.6, 4.0)
+    wanted = brute_rules([(tokens[u], b) for u, b in rows], 0.02, 0.6, 0.01, urls.candidate_rules(df, 0.02).count())
     index = urls.mine_rules(df, min_support=0.02)
     pages = df.select(F.col("url"), F.monotonically_increasing_id().alias("page_id"))
     extra = spark.createDataFrame([("http://y.net/win/bonus", -1), ("http://y.net/casino", -2), ("http://y.net/fr", -3)], "url string, page_id long")
@@ -117,6 +119,15 @@ def test_rules_against_all_sets(spark, noise):
         assert (r["verdict"] == "block") == (best is not None) and (best is None or abs(r["confidence"] - best) < 1e-9), urls_of[r["page_id"]]
 
 
+def test_no_rule_where_labels_do_not_depend_on_urls(spark):
+    r = random.Random(1)
+    words = ["casino", "books", "win", "news", "shop", "fr", "en", "de"]
+    rows = [(f"http://{r.choice(words)}.org/{r.choice(words)}/{r.choice(words)}/{r.choice(words)}?{r.choice(words)}=1", r.random() < 0.15) for _ in range(900)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    candidates = urls.candidate_rules(df)
+    assert candidates.filter("confidence >= 0.6").count() > 0 and urls.mine_rules(df).count() == 0
+
+
 def test_very_long_urls(spark):
     """Time linear in the host: 100 KB of labels, of one label, of path."""
     long = ["http://" + "a." * 50_000 + "com/en/", "http://" + "a" * 100_000 + ".com/en/", "http://x.com/en/" + "b/" * 50_000, "http://" + "." * 100_000 + "/en/"]
