@@ -89,6 +89,14 @@ def test_against_brute_force(spark, mix):
         assert max(r["block"] for r in got) <= 3
 
 
+def test_very_long_texts_and_ties(spark):
+    """A text longer than its source's budget counts whole; rows with one key go together."""
+    rows = rows_of([("big", 300, 8), ("small", 30, 20)]) + [(9000, "big", "word\t" * 300_000), (9001, "long", "é\n" * 200_000), (9002, "small", "w " * 50), (9002, "small", "w " * 70)]
+    got = mixing.mix_sources(docs(spark, rows)).collect()
+    wanted, _ = brute(rows, mixing.Mix())
+    assert sorted(((r["doc_id"], r["source"], r["n_tokens"], r["block"]) for r in got), key=repr) == sorted(wanted, key=repr)
+
+
 def test_documents_keep_their_columns(spark):
     df = docs(spark, CASES)
     mixed = mixing.mixed_documents(df)

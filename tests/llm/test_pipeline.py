@@ -44,6 +44,21 @@ def test_stages_and_run(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, kept[-1].collect()))
 
 
+def test_near_dedup_loses_no_text(spark, sf_dir, prose):
+    """Whatever the ids, exactly one row of each group of near texts stays, by brute force over the texts."""
+    from test_simhash import brute_components, brute_fingerprint
+
+    texts = [prose(60, 700 + i) for i in range(12)]
+    rows = [(3, texts[0]), (5, texts[0]), (5, texts[1])] + [(None, t) for t in texts[2:6]] + [(None, texts[2]), (7, texts[6]), (7, texts[7]), (7, texts[6]), (8, texts[8]), (9, texts[8] + " "), (None, None), (None, ""), (10, texts[9]), (4, texts[9])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    group = brute_components([(i, brute_fingerprint(t)) for i, (_, t) in enumerate(rows)])
+    of = {}
+    for i, row in enumerate(rows):
+        of.setdefault(row, group[i])
+    assert set(kept) <= set(rows) and sorted(of[k] for k in kept) == sorted(set(group.values()))
+
+
 def test_odd_input(spark, sf_dir, tmp_path):
     rows = [(i, t, "en", s, 0, "clash") for i, (t, s) in enumerate([(None, "a"), ("", None), ("12 34", "a"), ("the same words are in this text and that", None), ("the same words are in this text and that", "b")])]
     rows += [rows[-1], (None, "and the other one was for it", "en", None, None, None)]
