@@ -81,10 +81,6 @@ class Records:
     def count(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("n"))
 
-    def entries(self) -> DataFrame:
-        """(field, cell) of every frontmatter field of every record; for notes only."""
-        return self.df.select(F.explode("fields").alias("field", "cell"))
-
     def counted_entries(self) -> DataFrame:
         """field, type, disp, n: how often each value stands, written once; one parse for all that is read from it.
 

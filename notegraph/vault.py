@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import time
 from collections.abc import Iterable
 
@@ -109,8 +110,12 @@ class Notes:
     def rename_plan(self, old: str, new: str) -> DataFrame:
         return mutate.rename_plan(self.graph, old, new)
 
-    def render(self, found: Records, select: str | None = None, form: str = "table") -> str:
-        return output.render(found, [f.strip() for f in select.split(",")] if select else None, form)
+    def render(self, found: Records, select: str | None = None, form: str = "table", verbose: bool = False) -> str:
+        """The text that a console shows; ``verbose`` prints the number of records to the error stream."""
+        text = output.render(found, [f.strip() for f in select.split(",")] if select else None, form)
+        if verbose:
+            print(f"{found.df.count()} record(s) matched", file=sys.stderr)
+        return text
 
 
 class Vault:

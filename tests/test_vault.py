@@ -104,6 +104,12 @@ def test_records_and_virtual_fields(spark, root):
     assert names(vault.notes("notes", True).query(["_folder = sub"])) == ["three"]
 
 
+def test_verbose_rendering(spark, root, capsys):
+    notes = Vault(spark, str(root)).notes("notes")
+    assert notes.render(notes.query(["status = draft"]), "_name", "csv", verbose=True) == "_name\ntwo\n"
+    assert capsys.readouterr().err == "1 record(s) matched\n"
+
+
 def test_aggregates_and_rendering(spark, root):
     notes = Vault(spark, str(root)).notes("notes")
     assert notes.count(["status = active"]).first()[0] == 3
