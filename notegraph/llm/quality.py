@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityMod
     chosen = bounded_sample(labels.filter(F.col("label").isin(0, 1)), "label", per_label).select("doc_id", "label").distinct()
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")).orderBy(F.xxhash64("chosen_id", F.lit("row")), "label").limit(4 * per_label)
     sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label", "part")
-    sample = materialise(sample, "quality-sample", 4 * per_label)
+    sample = materialise(sample, "quality-sample")  # by the scan's tasks; those without a row write no file
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
