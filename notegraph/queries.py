@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import NoteError
 from .operators import output, schema
 from .operators.records import Records, from_table
 from .session import materialise, own_folder
@@ -398,6 +399,8 @@ def columns_shown(spark, sf_dir):
 def _vault(spark: SparkSession, sf_dir: str) -> Vault:
     """A vault of files in the shared folder: regions and nations, one note at the top, and what isn't a note."""
     root = f"{own_folder(spark).removeprefix('file:')}/vault-{uuid.uuid4().hex}"
+    if "://" in root:
+        raise NoteError("a vault of files needs a shared folder that is mounted")
     for folder in (".obsidian", "regions/nations", "regions/.hidden"):
         os.makedirs(f"{root}/{folder}")
     vault = Vault(spark, root)

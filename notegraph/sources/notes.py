@@ -75,8 +75,8 @@ def list_notes(path: str, recursive: bool) -> list[str]:
 FOLDERS_A_TASK = 1_000
 
 
-def listed(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    """path: the files of ``list_notes``, listed by the tasks.
+def listed(spark: SparkSession, path: str, recursive: bool) -> tuple[DataFrame, int]:
+    """(path) of the files of ``list_notes``, listed by the tasks, and their number.
 
     A task walks down from its folders until it has seen ``FOLDERS_A_TASK``; what is left
     is dealt out anew.  Neither files nor folders reach the driver.
@@ -95,12 +95,15 @@ def listed(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
 
     hidden = recursive and os.path.basename(os.path.normpath(path)).startswith(".")
     level, found = spark.createDataFrame([] if hidden else [(path,)], "path string").coalesce(1), None
+    n = 0
     while True:
         out = materialise(level.mapInArrow(walk, "path string, is_folder boolean"), "listing")
         files = out.filter("not is_folder").select("path")
         found = files if found is None else found.unionByName(files)
-        if out.filter("is_folder").isEmpty():
-            return found
+        counts = dict(out.groupBy("is_folder").count().collect())
+        n += counts.get(False, 0)
+        if True not in counts:
+            return found, n
         level = out.filter("is_folder").select("path").repartition(spark.sparkContext.defaultParallelism * 4)
 
 
@@ -128,8 +131,8 @@ def _read_files(root: str):
 
 def read_folder(spark: SparkSession, root: str, folder: str = "", recursive: bool = False) -> DataFrame:
     """The notes of a folder that is mounted on all nodes; the files are listed and read by the tasks."""
-    paths = listed(spark, resolve_folder(root, folder), recursive)
-    parts = max(1, min(paths.count() // 500, spark.sparkContext.defaultParallelism * 4))
+    paths, n = listed(spark, resolve_folder(root, folder), recursive)
+    parts = max(1, min(n // 500, spark.sparkContext.defaultParallelism * 4))
     return notes(paths.repartition(parts).mapInArrow(_read_files(root), "path string, content string, mtime timestamp, ctime timestamp"))
 
 

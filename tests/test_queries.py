@@ -20,22 +20,22 @@ def rows(names, values):
     return sorted([tuple(str(v) for _, v in sorted(zip(names, r))) for r in values])
 
 
+def assert_parsed_once(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    parses = [line for line in plan.splitlines() if "ArrowEvalPython" in line and ("_parse(" in line or "_invalid(" in line)]
+    assert len(parses) <= 1 and plan.count("ArrowEvalPython") <= 1 + ("edit(" in plan)
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_query_equals_sql(spark, sf_dir, duck, name):
     got = queries.QUERIES[name](spark, sf_dir)
+    assert_parsed_once(got)
     wanted = duck.execute(queries.SQL[name])
     names = [d[0] for d in wanted.description]
     assert sorted(got.columns) == sorted(names)
     assert rows(got.columns, got.collect()) == rows(names, wanted.fetchall())
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
-def test_notes_are_parsed_once_at_most(spark, sf_dir, name):
-    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-    parses = [line for line in plan.splitlines() if "ArrowEvalPython" in line and ("_parse(" in line or "_invalid(" in line)]
-    assert len(parses) <= 1 and plan.count("ArrowEvalPython") <= 1 + ("edit(" in plan)
-
-
 def test_link_queries_parse_no_frontmatter(spark, sf_dir):
     for name in ("orphans", "links_to", "backlink_hubs"):
         assert "_parse(" not in queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -66,7 +66,8 @@ def test_tasks_list_the_same_files(spark, root, monkeypatch, folders_a_task):
     for folder in ("", "notes", "deep", "deep/0", "notes/.hidden"):
         for recursive in (False, True):
             path = os.path.join(root, folder)
-            assert sorted(r[0] for r in sources.listed(spark, path, recursive).collect()) == list_notes(path, recursive)
+            found, n = sources.listed(spark, path, recursive)
+            assert sorted(r[0] for r in found.collect()) == list_notes(path, recursive) and n == found.count()
 
 
 def test_applied_changes_can_be_run_again(spark, root):
