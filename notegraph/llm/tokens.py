@@ -43,6 +43,10 @@ BLOCK_IDS = 1 << 20
 #: Bytes of text whose distinct words are encoded together, and words joined for one call.
 SLICE_BYTES = 10 << 20
 WORDS_AT_ONCE = 512
+#: Words that the library's own cache holds (10,000 else): some tens of MB in a worker.
+WORD_CACHE = 200_000
+#: Nothing, or a white-space character at the end: those of Unicode and some separators.
+ENDS_IN_SPACE = r"(?:^|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\z"
 
 
 class EliasFano:
@@ -132,6 +136,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(WORD_CACHE)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -162,11 +167,11 @@ class Encoder:
         starts = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         del split
+        odd = pc.match_substring_regex(coded.dictionary, ENDS_IN_SPACE).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | (" " in token) | pc.match_substring(coded.dictionary, token).to_numpy(zero_copy_only=False)
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         heads = index[starts[:-1]]
-        odd = np.array([not w or w[-1].isspace() or any(t in w for t in self.added) for w in words], bool)
-        if any(" " in t for t in self.added):  # then words can't be told apart from such a token's parts
-            odd[:] = True
         text_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
         odd_text = np.zeros(n, bool)
         odd_text[text_of[odd[index]]] = True
