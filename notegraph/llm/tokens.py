@@ -43,8 +43,8 @@ BLOCK_IDS = 1 << 20
 #: Bytes of text whose distinct words are encoded together, and words joined for one call.
 SLICE_BYTES = 10 << 20
 WORDS_AT_ONCE = 512
-#: Words that the library's own cache holds (10,000 else): some tens of MB in a worker.
-WORD_CACHE = 200_000
+#: Words whose ids a worker keeps from batch to batch, the first it meets: some tens of MB.
+KEPT_WORDS = 250_000
 #: Nothing, or a white-space character at the end: those of Unicode and some separators.
 ENDS_IN_SPACE = r"(?:^|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\z"
 
@@ -126,7 +126,8 @@ class Encoder:
     The vocabulary's pre-tokenizer always cuts between a non-space character and a
     space, so the ids of a text are those of its pieces " word", one after the other.
     The distinct pieces of a batch are encoded together, told apart by the space that
-    starts each, and laid out for all texts by array operations.  First words, texts in
+    starts each, and laid out for all texts by array operations; the ids of the first
+    ``KEPT_WORDS`` distinct words are kept for later batches.  First words, texts in
     which a space follows white space, and texts that hold an added token (such as an end
     mark, which the library turns into its id) go to the library as they are.
     """
@@ -136,12 +137,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.model._resize_cache(WORD_CACHE)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.id_bytes = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.id_bytes}")
+        self.known: dict[str, int] = {}  # places of the words kept: their ids follow one another in ``kept``
+        self.kept = np.zeros(0, self.kind)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(size, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # a space, as the byte-level alphabet writes it
@@ -179,20 +181,27 @@ class Encoder:
         used = np.zeros(len(words), bool)
         used[np.delete(index, starts[:-1])] = True
         plain = np.flatnonzero(used & ~odd)
-        pieces = self.words([words[i] for i in plain.tolist()])
-        # Entries: the plain words, then first words, then odd texts, then the end id.
+        place_of = np.fromiter((self.known.get(words[i], -1) for i in plain.tolist()), np.int32, len(plain))
+        new = plain[place_of < 0]
+        pieces = self.words([words[i] for i in new.tolist()])
+        # Entries: the words kept, new plain words, then first words, then odd texts, then the end id.
         firsts = np.unique(heads[~odd_text])
         odd_rows = np.flatnonzero(odd_text)
         others = [*self.whole([words[i] for i in firsts.tolist()]), *self.whole(texts.take(pa.array(odd_rows)).to_pylist()), np.array([end_id], self.kind)]
-        flat = np.concatenate([*pieces, *others])
-        n_plain = sum(map(len, pieces))
+        flat = np.concatenate([self.kept, *pieces, *others])
+        n_plain = len(self.kept) + sum(map(len, pieces))
         begins = np.concatenate((np.flatnonzero(self.spaced[flat[:n_plain]]), n_plain + np.cumsum([0, *map(len, others)]))).astype(np.int32)
+        n_known, n_words = len(self.known), len(self.known) + len(new)
+        place_of[place_of < 0] = n_known + np.arange(len(new))
         entry = np.zeros(len(words), np.int32)
-        entry[plain] = np.arange(len(plain))
+        entry[plain] = place_of
+        if stay := min(len(new), KEPT_WORDS - n_known):
+            self.known |= {words[i]: n_known + k for k, i in enumerate(new[:stay].tolist())}
+            self.kept = flat[: begins[n_known + stay]].copy()
         del words, pieces, others
         order = entry[index]
-        order[starts[:-1]] = len(plain) + np.searchsorted(firsts, heads).clip(max=max(len(firsts) - 1, 0))
-        order[starts[odd_rows]] = len(plain) + len(firsts) + np.arange(len(odd_rows))
+        order[starts[:-1]] = n_words + np.searchsorted(firsts, heads).clip(max=max(len(firsts) - 1, 0))
+        order[starts[odd_rows]] = n_words + len(firsts) + np.arange(len(odd_rows))
         keep = ~odd_text[text_of]
         keep[starts[odd_rows]] = True
         counts = np.bincount(text_of[keep], minlength=n)

@@ -53,6 +53,17 @@ def test_batches_give_the_ids_of_the_library(coder, library, texts):
     assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == [x for w in wanted for x in w]
 
 
+@pytest.mark.parametrize("kept", [0, 3, 40, 1000])
+def test_words_kept_from_batch_to_batch(library, prose, monkeypatch, kept):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", kept)
+    own = tokens.Encoder(VOCABULARY)
+    for seed in range(6):
+        texts = [prose(30, seed), "", "é don't " + prose(40, seed % 3).replace(" ", "1 "), "a  b", "<|endoftext|> x"]
+        ids, lengths = own.encode(pa.array(texts), 0)
+        assert ids.tolist() == [x for t in texts for x in [*library(t), 0]] and lengths.tolist() == [len(library(t)) + 1 for t in texts]
+    assert len(own.known) <= kept and np.count_nonzero(own.spaced[own.kept]) == len(own.known)
+
+
 def test_strings_of_added_tokens(coder, library):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "plain words", "<|endoftext", ""]
     ids, lengths = coder.encode(pa.array(texts), 0)
